@@ -1,0 +1,76 @@
+"""The corpus pipeline: toxic documents go, repeated lines go, one of each near-duplicate group stays,
+contaminated documents go, and what is left is encoded.
+
+Each stage is a function of (spark, docs, sf_dir); the result of one, written as Parquet and read
+again, is the next one's ``docs``.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glimpsar.llm import bpe, decontaminate, line_dedup, near_duplicates, toxicity
+from glimpsar.llm.common import small_or_hashed, stored
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but those whose id is in the column ``__gone`` of ``ids``; texts are not sorted for it.
+
+    Documents without an id stay.
+    """
+    gone = small_or_hashed(stored(ids, "pipeline-gone"), 16)
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return _without(docs, scored.where("score >= 0.5").select(F.col("doc_id").alias("__gone")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier document has; ``n_chars`` follows the text."""
+    kept = line_dedup.dedup_lines(docs).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group."""
+    found = near_duplicates.near_duplicates(docs)
+    return _without(docs, found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which no twentieth part is benchmark passages."""
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where(decontaminate.contaminated()).select(F.col("doc_id").alias("__gone")))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard", keep_one_of_each_group),
+    ("decontaminate", drop_contaminated),
+    ("bpe", encode),
+]
+
+#: Neither learned scores nor byte pair encoding can be written in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, f"pipeline-{name}")
+    return docs

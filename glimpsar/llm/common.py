@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,7 +59,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
     Batches of Spark are bounded by rows; this bounds what a kernel holds at once by bytes.
     """
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         lo = total = 0
         for i, n in enumerate(sizes):
             if i > lo and total + n > limit:

@@ -6,11 +6,16 @@ import importlib
 
 #: Module, and name of the query function in it.
 _QUERIES = {
+    "op1_token_counts": "token_counts",
+    "op2_permutation_index": "permutation_index",
     "op3_line_dedup": "line_dedup",
     "op4_toxicity": "toxicity",
     "op5_decontaminate": "decontaminate",
     "op6_ngram_jaccard": "near_duplicates",
     "op7_bpe": "bpe",
+    "op8_sharding": "sharding",
+    "op9_html_extract": "html_extract",
+    "op10_pii": "pii",
 }
 
 

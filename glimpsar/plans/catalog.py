@@ -1,9 +1,9 @@
-"""All queries over the driver's tables, each with the SQL that defines it."""
+"""All queries over the driver's tables, and the SQL that defines them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import evaluation, library, matching, retrieval, scalars, timeline  # noqa: F401  they register their queries
+from .registry import QUERIES, SQL
 
 
 def queries() -> dict:

@@ -1,0 +1,72 @@
+"""Indexing a folder: scan, compare, embed what is new or changed, drop what is gone."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import library as L
+from .files import scan_folder
+from .store import IndexStore
+
+
+@dataclass
+class IndexStats:
+    photos_indexed: int = 0
+    photos_removed: int = 0
+    unchanged: int = 0
+    total_photos: int = 0
+    seconds: float = 0.0
+
+    @property
+    def photos_per_second(self) -> float:
+        return self.photos_indexed / self.seconds if self.seconds else 0.0
+
+
+def index_folder(store: IndexStore, folder: str, embedder, report: Callable[[str], None] = lambda _: None) -> IndexStats:
+    """Bring the store up to date with ``folder``; a second run over unchanged files writes nothing.
+
+    Pictures without capture time get their file's, marked as inferred.
+    """
+    began, stats = time.perf_counter(), IndexStats()
+    report("scanning")
+    seen = scan_folder(store.spark, folder, store.root).where("kind = 'image'").persist()
+    try:
+        stored = store.table("photos")
+        pending = L.pending(stored.select("photo_id", "size", "mtime_ns"), seen.select("photo_id", "path", "size", "mtime_ns"), "photo_id").persist()
+        gone = L.stale(stored, seen, folder, "path").select("photo_id")
+        stats.photos_indexed, stats.photos_removed, total = pending.count(), gone.count(), seen.count()
+        stats.unchanged = total - stats.photos_indexed
+        if stats.photos_removed:
+            store.drop_photos(gone)
+        if stats.photos_indexed:
+            report(f"embedding {stats.photos_indexed}")
+            store.upsert_photos(_entries(pending), embedder.regions(pending))
+        stats.total_photos = store.table("photos").count()
+        pending.unpersist()
+    finally:
+        seen.unpersist()
+    stats.seconds = time.perf_counter() - began
+    report("done")
+    return stats
+
+
+def _entries(pending: DataFrame) -> DataFrame:
+    null = lambda t: F.lit(None).cast(t)
+    return pending.select(
+        "photo_id",
+        "path",
+        null("string").alias("source_video_path"),
+        null("double").alias("frame_time_sec"),
+        F.timestamp_micros((F.col("mtime_ns") / 1000).cast("long")).cast("timestamp_ntz").alias("taken_at"),
+        F.lit(True).alias("taken_at_inferred"),
+        null("struct<lat: double, lon: double>").alias("gps"),
+        null("int").alias("width"),
+        null("int").alias("height"),
+        "mtime_ns",
+        "size",
+    )

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, pieces
+from .common import arrow_schema, mapped, pieces
 
 # The pattern that splits texts into pre-tokens, as the vocabulary was made with it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,8 +33,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _QUICK = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters on whose classes the two modules might differ.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe]|[^\x00-ɏ‐-‧€]")
-#: Distinct pre-tokens that a task remembers; beyond, it starts afresh.
-CACHE_WORDS = 600_000
+#: Distinct pre-tokens that a worker remembers in each of two generations: when the younger is full, it
+#: takes the older one's place, and what is met again moves back into the younger.
+CACHE_WORDS = 220_000
+#: Pairs of tokens whose compatibility a task remembers.
+CACHE_PAIRS = 1_000_000
+#: Depth at which branches of the trie are remembered from one traversal to the next, and how many of them.
+STEM, CACHE_STEMS = 5, 100_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -67,6 +73,7 @@ class Vocabulary:
             self.halves.setdefault(made, (a, b))
         self._canonical: dict[int, bool] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
+        self.stems: dict[bytes, tuple[tuple[int, ...], tuple[int, ...]]] = {}
         self.splitter = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         #: For three bytes, the lengths of the tokens that end with them or a part of them, longest first.
         self.endings: dict[bytes, tuple[int, ...]] = {}
@@ -101,7 +108,7 @@ class Vocabulary:
         """Whether merging the bytes of both tokens gives these two tokens."""
         found = self._pairs.get((left, right))
         if found is None:
-            if len(self._pairs) > 4_000_000:
+            if len(self._pairs) >= CACHE_PAIRS:
                 self._pairs.clear()
             found = self._pairs[left, right] = self._stays_apart(left, right)
         return found
@@ -134,6 +141,7 @@ class Vocabulary:
     def encode_sorted(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """Encodings of sorted distinct words, sharing the work on common prefixes."""
         ids, endings, pairs, compatible, canonical = self.ids, self.endings, self._pairs, self.compatible, self.canonical
+        stems = self.stems
         last: list[int] = []  # last token of the prefix that ends after each byte of the path
         size: list[int] = []
         before = b""
@@ -144,7 +152,20 @@ class Vocabulary:
             else:
                 while before[shared] == word[shared]:
                     shared += 1
-            del last[shared:], size[shared:]
+            if shared < STEM <= len(word):
+                # A branch of the trie that an earlier traversal has been in is taken up from there.
+                known = stems.get(word[:STEM])
+                if known is not None:
+                    last[:], size[:] = known
+                    shared = STEM
+                else:
+                    del last[shared:], size[shared:]
+            else:
+                del last[shared:], size[shared:]
+            if shared < STEM <= len(word):
+                fresh = word[:STEM]
+            else:
+                fresh = None
             for end in range(shared + 1, len(word) + 1):
                 tail = word[end - 3 if end > 3 else 0 : end]
                 lengths = endings.get(tail)
@@ -170,6 +191,10 @@ class Vocabulary:
                     break
                 else:
                     raise ValueError("the vocabulary lacks a byte")
+            if fresh is not None:
+                if len(stems) >= CACHE_STEMS:
+                    stems.clear()
+                stems[fresh] = (tuple(last[:STEM]), tuple(size[:STEM]))
             out, end = [], len(word)
             while end:
                 out.append(last[end - 1])
@@ -191,14 +216,23 @@ class Encoder:
         self.vocabulary = vocabulary
         self.exact = regex.compile(PATTERN)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pretokens(self, text: str) -> list[str]:
         return self.exact.findall(text) if _ODD.search(text) else _QUICK.findall(text)
 
-    def _learn(self, words: set[str]) -> None:
-        new = sorted((w.encode("utf-8", "surrogatepass"), w) for w in words)
-        for (_, word), ids in zip(new, self.vocabulary.encode_sorted(raw for raw, _ in new), strict=True):
-            self.cache[word] = np.array(ids, dtype=np.int32).tobytes()
+    def learn(self, words: set[str]) -> None:
+        """Have all of ``words`` in the cache."""
+        if len(self.cache) + len(words) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        words = words.difference(cache)
+        known = words.intersection(older)
+        for word in known:
+            cache[word] = older[word]
+        new = sorted(words - known)  # strings sort as their UTF-8 does
+        for word, ids in zip(new, self.vocabulary.encode_sorted([w.encode() for w in new]), strict=True):
+            cache[word] = array("i", ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text; null and empty texts have none.  Special tokens' strings are one token."""
@@ -216,9 +250,7 @@ class Encoder:
         for words in split:
             distinct.update(words)
         plain = {w for w in distinct if isinstance(w, str)}
-        if len(self.cache) + len(plain) > CACHE_WORDS:
-            self.cache.clear()
-        self._learn(plain.difference(self.cache))
+        self.learn(plain)
         for w in distinct - plain:
             self.cache[w] = np.array([w], dtype=np.int32).tobytes()
         return [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), dtype=np.int32) for words in split]
@@ -260,7 +292,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(content.value)
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 3 << 20):
             ids = encoder.encode(batch.column("text").to_pylist())
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
@@ -274,7 +306,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 schema=schema,
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, _ROUND)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rows, _ROUND)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -16,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A side of a join is broadcast only if its measured rows times its row width stay below this.
 BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch that may hold texts.
+BATCH_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,11 +46,32 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(
-    df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType
-) -> DataFrame:
-    """``mapInArrow`` whose function yields batches of ``schema``'s Arrow form."""
-    return df.mapInArrow(rows, schema)
+def mapped(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for rows that may hold long texts.
+
+    Spark bounds Arrow batches by rows alone, 10000 of them unless told otherwise.  That many texts
+    do not fit, so the session's bound is lowered to ``BATCH_ROWS`` (it has to hold until the plan runs, so it stays).  At
+    the end of a task memory that is free goes back to the system, as workers live on.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Give freed memory back to the operating system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -54,20 +79,27 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batches`` whose ``column`` of strings holds about ``limit`` bytes (one row at least).
+    """``batches`` cut and joined so that ``column``'s strings come to about ``limit`` bytes (one row at least)."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    Batches of Spark are bounded by rows; this bounds what a kernel holds at once by bytes.
-    """
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
-        lo = total = 0
+        lo = 0
         for i, n in enumerate(sizes):
-            if i > lo and total + n > limit:
-                yield batch.slice(lo, i - lo)
-                lo, total = i, 0
+            if total and total + n > limit:
+                if i > lo:
+                    held.append(batch.slice(lo, i - lo))
+                yield joined()
+                held, total, lo = [], 0, i
             total += n
         if lo < len(sizes):
-            yield batch.slice(lo)
+            held.append(batch.slice(lo))
+    if held:
+        yield joined()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, pieces, utf8
+from .common import arrow_schema, mapped, pieces, utf8
 from .words import WORD_BYTES, words_of
 
 WINDOW = 13
@@ -142,7 +142,7 @@ def find_contamination(
                     [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema
                 )
 
-        return df.mapInArrow(rows, final if last else some)
+        return mapped(df, rows, final if last else some)
 
     blocks = _blocks(benchmark, block_bytes)
     found, block, fresh = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), next(blocks, []), True

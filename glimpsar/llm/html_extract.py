@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, pieces, small_or_hashed, stored
+from .common import arrow_schema, mapped, pieces, small_or_hashed, stored
 
 # Element names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -249,7 +249,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                         values.append(float(page.nodes[i].own))
             yield pa.RecordBatch.from_pydict({"host": hosts, "path": paths, "score": values}, schema=arrow_schema(_VOTE))
 
-    votes = own.select("host", "html").mapInArrow(vote, _VOTE).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
+    votes = mapped(own.select("host", "html"), vote, _VOTE).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
     # The largest count, then score, then path; a hot host's votes are summed before they are shuffled.
     winners = stored(votes.groupBy("host").agg(F.max(F.struct("n", F.round("score").alias("score"), "path")).alias("w")).select("host", F.col("w.path").alias("path")), "html-winners")
     schema = T.StructType([own.schema["page_id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("path", T.StringType())])
@@ -263,7 +263,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             )
 
     joined = own.join(small_or_hashed(winners, 256), "host", "left").select("page_id", "url", "html", "path")
-    return joined.mapInArrow(again, schema)
+    return mapped(joined, again, schema)
 
 
 def op9_html_extract(spark, sf_dir: str) -> DataFrame:

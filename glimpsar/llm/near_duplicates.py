@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, pieces, small_or_hashed, stored, utf8
+from .common import arrow_schema, mapped, pieces, small_or_hashed, stored, utf8
 from .components import components
 from .words import odd_constants, shingles, splitmix
 
@@ -247,15 +247,13 @@ def near_duplicates(
     ``n_links`` how many other documents are that similar to this one.
 
     A text with fewer than five words has one shingle of all its words.  Texts without words are alike only if they are the
-    same text; null and empty texts are alike with nothing, each is a class of its own.  Rows without
+    same text; null counts as an empty text, and all empty texts are copies of each other.  Rows without
     an id have no name to be linked by and are left out.  Rows that repeat an id give one row of result; their first text
     by order counts.  Other columns are never read, whatever their names.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    signatures = stored(named.mapInArrow(lambda b: _signatures(b, ngram, bands, rows), _SIGNATURES), "near-signatures")
-    empty = F.unhex(F.lit(hashlib.blake2b(b"\0", digest_size=16).hexdigest()))
-    own_key = F.when(F.col("digest") == empty, F.concat("digest", F.col("doc").cast("string").cast("binary"))).otherwise(F.col("digest"))
-    one = signatures.groupBy("doc").agg(F.min(F.struct(own_key.alias("digest"), "n", "bands")).alias("s")).select("doc", "s.*")
+    signatures = stored(mapped(named, lambda b: _signatures(b, ngram, bands, rows), _SIGNATURES), "near-signatures")
+    one = signatures.groupBy("doc").agg(F.min(F.struct("digest", "n", "bands")).alias("s")).select("doc", "s.*")
     classes = stored(
         one.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
         "near-classes",
@@ -266,7 +264,7 @@ def near_duplicates(
     wanted = stored(members.select(F.col("rep").alias("doc")).distinct(), "near-members")
     small = small_or_hashed(wanted, 16)
     # Rows that repeat an id may differ in text: the digest tells which of them stands for it.
-    sets = named.join(small, "doc", "left_semi").mapInArrow(lambda b: _grams(b, ngram), _SETS)
+    sets = mapped(named.join(small, "doc", "left_semi"), lambda b: _grams(b, ngram), _SETS)
     known = sets.join(classes.select("rep", "digest", "copies", "bands"), ["rep", "digest"])
     n_blocks = F.ceil(F.col("size") / block).cast("int")
     met = (
@@ -278,7 +276,7 @@ def near_duplicates(
     )
     group = ["band", "hash", "low", "high"]
     found = stored(
-        met.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda b: _meet(b, similarity), _FOUND), "near-links"
+        mapped(met.repartition(*group).sortWithinPartitions(*group), lambda b: _meet(b, similarity), _FOUND), "near-links"
     )
     grouped = components(found.where("other is not null").select("rep", "other"))
     degrees = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))

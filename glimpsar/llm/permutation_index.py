@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_schema, stored
+from .common import arrow_schema, mapped, stored
 
 NEIGHBOURS = 20
 #: Pivots are chosen among the distinct vectors by a hash of their components; at most so many.
@@ -99,7 +99,7 @@ def _post(df: DataFrame, pivots: np.ndarray, count: int, order: int) -> DataFram
                     [pa.array(ranked[:, :n].ravel(), pa.int32()), batch.column("id").take(take), batch.column("vec").take(take).cast(schema.field(2).type), raw.take(take)], schema=schema
                 )
 
-    return df.mapInArrow(rows, _POSTED)
+    return mapped(df, rows, _POSTED)
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int, share: float) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def search(
     rows = files.withColumn("block", hashed(blocks)).withColumn("qblock", every(qblocks)).withColumn("asks", F.lit(False))
     ask = looked.withColumn("qblock", hashed(qblocks)).withColumn("block", every(blocks)).withColumn("asks", F.lit(True))
     group = ["pivot", "block", "qblock"]
-    found = rows.unionByName(ask).repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda b: _search(b, k, share), _FOUND)
+    found = mapped(rows.unionByName(ask).repartition(*group).sortWithinPartitions(*group), lambda b: _search(b, k, share), _FOUND)
     # Best lists of bounded length meet per query: at most probed x blocks of its files.
     flat = found.select(F.col("query").alias("query_id"), F.explode("best").alias("b")).groupBy("query_id", F.col("b.id").alias("vec_id")).agg(F.max("b.score").alias("score"))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_schema, small_or_hashed, stored
+from .common import arrow_schema, mapped, small_or_hashed, stored
 
 SHARDS = 24
 #: Items that one bucket's task combines.
@@ -108,7 +108,7 @@ def assign(groups: DataFrame, shards: int = SHARDS, bucket_items: int = BUCKET_I
         buckets = max(1, -(-n // bucket_items))
         dealt = level.withColumn("bucket", F.concat(F.lit(f"{depth}:"), F.pmod(F.xxhash64("item"), F.lit(buckets)).cast("string")))
         done = stored(
-            dealt.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(_combine, _LEVEL), "sharding-level"
+            mapped(dealt.repartition("bucket").sortWithinPartitions("bucket", "item"), _combine, _LEVEL), "sharding-level"
         )
         steps.append(done.where("item is not null").select("item", "bucket", "parts"))
         if buckets == 1:

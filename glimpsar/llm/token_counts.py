@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Encoder, tokenizer_content, worker_encoder
-from .common import arrow_schema, pieces
+from .common import arrow_schema, mapped, pieces
 
 #: Pre-tokens of a leaf: at first, and at most (a fuller leaf makes the tree be built anew).
 LEAF, FULL_LEAF = 64, 512
@@ -42,13 +42,8 @@ class Counter:
         return out
 
     def counts(self, words: list[str]) -> list[int]:
+        self.encoder.learn({w for w in words if w not in self.special})
         cache = self.encoder.cache
-        new = {w for w in words if w not in cache and w not in self.special}
-        if new:
-            if len(cache) > 1_000_000:
-                cache.clear()
-                new = {w for w in words if w not in self.special}
-            self.encoder._learn(new)
         return [1 if w in self.special else len(cache[w]) >> 2 for w in words]
 
 
@@ -237,7 +232,7 @@ def count_with_edits(docs: DataFrame, edits_col: str = "edits", path: str | None
                 out["edited"].append(tree.text() if edits else text)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(out[f.name], f.type) for f in list(schema)[1:]]], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(edits_col).cast(_EDIT).alias("edits")).mapInArrow(rows, _OUT)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(edits_col).cast(_EDIT).alias("edits")), rows, _OUT)
 
 
 def revisions(text: str = "text"):

@@ -14,6 +14,7 @@ probability.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, pieces, stored
+from .common import arrow_schema, mapped, pieces, stored
 from .words import shingles
 
 #: At most this many labelled documents are learned from, chosen by a hash of their ids.
@@ -34,7 +35,7 @@ TRAIN_ROWS = 24_000
 PREFIXES = range(4, 8)
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»„]|[.!?;:\n]+")
-_CACHE = 1_000_000
+_CACHE = 200_000
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = range(7)
 
@@ -222,17 +223,16 @@ def _choose(lists: list[list[str]], pos: dict[str, int], neg: dict[str, int], n_
     need = [depth] * n_pos
     least = max(3, n_pos // 400)
     chosen: dict[str, float] = {}
-    import heapq
-
-    heap = [(-len(h) * weight[t], t) for t, h in holders.items()]
+    # Among equals the longer one, which is the more particular.
+    heap = [(-len(h) * weight[t], -len(t), t) for t, h in holders.items()]
     heapq.heapify(heap)
     while heap:
-        value, t = heapq.heappop(heap)
+        _, _, t = heapq.heappop(heap)
         left = sum(1 for i in holders[t] if need[i] > 0)
         if left < least:
             continue
         if heap and -left * weight[t] > heap[0][0]:
-            heapq.heappush(heap, (-left * weight[t], t))
+            heapq.heappush(heap, (-left * weight[t], -len(t), t))
             continue
         chosen[t] = min(6.0, weight[t])
         for i in holders[t]:
@@ -290,13 +290,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
             )
 
     chosen = (
-        sample.mapInArrow(contexts, context).groupBy("y", "context").agg(F.min("__id").alias("__id")).select("__id", "y").distinct()
+        mapped(sample, contexts, context).groupBy("y", "context").agg(F.min("__id").alias("__id")).select("__id", "y").distinct()
     )
     base = stored(sample.join(F.broadcast(chosen), "__id").select("y", "text"), "toxicity-base")
     sizes = {r.y: r["count"] for r in base.groupBy("y").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return seeds
-    pos = {r.term: r.n for r in base.where("y = 1").select("text").mapInArrow(_count_terms, _COUNTS).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3").collect()}
+    pos = {r.term: r.n for r in mapped(base.where("y = 1").select("text"), _count_terms, _COUNTS).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3").collect()}
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(pos))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
             yield pa.RecordBatch.from_pydict({"terms": own, "term": [None] * len(own), "n": [0] * len(own)}, schema=arrow_schema(_LISTS))
         yield pa.RecordBatch.from_pydict({"terms": [None] * len(neg), "term": list(neg), "n": list(neg.values())}, schema=arrow_schema(_LISTS))
 
-    found = stored(base.select("y", "text").mapInArrow(lists, _LISTS), "toxicity-terms")
+    found = stored(mapped(base.select("y", "text"), lists, _LISTS), "toxicity-terms")
     neg = {r.term: r.n for r in found.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     best = {t for t, p in pos.items() if _log_odds(p, neg.get(t, 0), sizes[1], sizes[0])[0] > 1.5}
     toxic = [[t for t in r.terms if t in best] for r in found.where("term is null").select("terms").toLocalIterator()]
@@ -330,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
                 [batch.column("y"), pa.array([a for a, _ in made], pa.float64()), pa.array([b for _, b in made], pa.float64())], schema=arrow_schema(feature)
             )
 
-    fitted = base.mapInArrow(features, feature).toPandas().sort_values(["a", "b", "y"])
+    fitted = mapped(base, features, feature).toPandas().sort_values(["a", "b", "y"])
     return Model(model.words, model.prefixes, _logistic(fitted[["a", "b"]].to_numpy(), fitted["y"].to_numpy()))
 
 
@@ -360,7 +360,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 schema=out_schema,
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, schema)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rows, schema)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

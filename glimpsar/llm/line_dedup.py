@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, pieces, stored, utf8
+from .common import arrow_schema, mapped, pieces, stored, utf8
 
 #: White space that is stripped at both ends of a line: space, and tab to carriage return.
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -118,8 +118,8 @@ def _merge(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
 
 def twice_filter(docs: DataFrame, text_col: str = "text", bits: int = FILTER_BITS) -> np.ndarray:
     """The twice-seen filter of all lines of ``docs`` as ``SEGMENTS`` rows of packed bits."""
-    spread = docs.select(text_col).mapInArrow(lambda b: _positions(b, bits), _POSITIONS)
-    merged = spread.repartition("segment").mapInArrow(lambda b: _merge(b, bits), _SEGMENT)
+    spread = mapped(docs.select(text_col), lambda b: _positions(b, bits), _POSITIONS)
+    merged = mapped(spread.repartition("segment"), lambda b: _merge(b, bits), _SEGMENT)
     table = np.zeros((SEGMENTS, bits // SEGMENTS // 8), dtype=np.uint8)
     for row in merged.toLocalIterator():
         table[row.segment] = np.frombuffer(row.twice, dtype=np.uint8)
@@ -154,7 +154,7 @@ def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
                 schema=arrow_schema(_SUSPECTS),
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(scan, _SUSPECTS)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc"), text_col), scan, _SUSPECTS)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = FILTER_BITS) -> DataFrame:
@@ -171,11 +171,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stored(suspects(docs, id_col, text_col, bits), "line-suspects")
     last = (1 << 63) - 1
     place = F.coalesce(F.col("doc"), F.lit(last))
-    owners = (
+    # Stored, so that both sides of the join come from plain shuffles: a line that a third of all documents have
+    # makes one large partition, and Spark can split that only if nothing else depends on how it is dealt.
+    owners = stored(
         found.groupBy("digest")
         .agg(F.min(place).alias("owner"), F.max(place).alias("other"))
         .where("owner <> other")
-        .select("digest", "owner")
+        .select("digest", "owner"),
+        "line-owners",
     )
     drops = (
         found.join(owners, "digest")
@@ -215,7 +218,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines), pa.array(n_dropped)], schema=out_schema)
 
-    return joined.mapInArrow(rebuild, schema)
+    return mapped(joined, rebuild, schema)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

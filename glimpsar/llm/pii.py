@@ -179,7 +179,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``doc_id`` and all base and proposed spans of each row with their votes and features."""
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     t = F.col("t")
-    digit, at = t.rlike("[0-9]{2}"), F.instr(t, "@") > 0
+    digit, at = t.rlike("[0-9]"), F.instr(t, "@") > 0
     df = df.select("doc_id", "t", digit.alias("digit"), at.alias("at"))
     digit = F.col("digit")
     found = df.select(
@@ -201,44 +201,45 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.filter("ip", lambda s: s["match"].rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")).alias("ip"),
         F.filter("number", is_card).alias("card"),
         F.filter("phone", lambda s: (count(s) >= 9) & (count(s) <= 15)).alias("phone"),
-        F.filter("number", lambda s: ~is_card(s)).alias("number"),
+        F.filter("number", lambda s: ~is_card(s) & ~s["before"].rlike("[a-z_]$")).alias("number"),  # no part of a longer token
         "local",
         "secret",
     )
     base = F.concat(*[_labelled(F.col(k), k, True) for k in BASE])
     more = F.concat(_labelled(F.col("local"), "phone", False), _labelled(F.col("secret"), "secret", False), _labelled(F.col("number"), "number", False))
-    return chosen.select("doc_id", F.array_sort(base).alias("base"), more.alias("more")).select(
-        "doc_id", "base", F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))).alias("more")
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    within = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"])
+    number = KINDS.index("number")
+    # A proposal stands aside for a base span, unless it is the wider one, and a number for anything more particular.
+    fine = lambda m: ~F.exists("base", lambda b: meets(m, b) & (within(m, b) | ~within(b, m))) & ~(
+        (m["kind"] == number) & (F.exists("base", lambda b: meets(m, b)) | F.exists("more", lambda o: (o["kind"] != number) & meets(m, o)))
     )
+    return chosen.select("doc_id", F.array_sort(base).alias("base"), more.alias("more")).select("doc_id", "base", F.filter("more", fine).alias("more"))
 
 
 def reliabilities(table: list[tuple[int, tuple[int, ...], float]], rounds: int = 60) -> tuple[np.ndarray, list[float]]:
-    """Expectation-maximisation of a two-class model of independent labelers over vote patterns.
+    """Expectation-maximisation of a model of independent labelers over vote patterns.
 
-    ``table`` has (kind, votes, count).  Returns P(vote | class) as [labeler, class, vote + 1] and each pattern's
-    probability of being personal data.
+    ``table`` has (kind, votes, count).  A labeler that votes is right with a probability of its own, and says nothing by
+    abstaining; it is never taken to be worse than chance, which settles which class is which.  Returns the labelers'
+    reliabilities and each pattern's probability of being personal data.
     """
     kinds = np.array([k for k, _, _ in table])
-    votes = np.array([v for _, v, _ in table]).reshape(len(table), -1) + 1
+    votes = np.array([v for _, v, _ in table], dtype=float).reshape(len(table), -1)
     count = np.array([c for _, _, c in table], dtype=float)
-    post = 1 / (1 + np.exp(-1.5 * (votes - 1).sum(1)))  # begins at the majority
+    post = 1 / (1 + np.exp(-1.5 * votes.sum(1)))  # begins at the majority
+    right = np.full(votes.shape[1], 0.7)
     for _ in range(rounds):
-        given = np.ones((votes.shape[1], 2, 3))
         for j in range(votes.shape[1]):
-            for v in range(3):
-                here = votes[:, j] == v
-                given[j, 1, v] += (count * post)[here].sum()
-                given[j, 0, v] += (count * (1 - post))[here].sum()
-        given /= given.sum(2, keepdims=True)
+            agrees = (count * np.where(votes[:, j] > 0, post, 1 - post))[votes[:, j] != 0].sum()
+            right[j] = np.clip((agrees + 2) / (count[votes[:, j] != 0].sum() + 3), 0.5, 0.99)
         prior = np.full(len(KINDS), 0.5)
         for k in set(kinds.tolist()):
             here = kinds == k
             prior[k] = (1 + (count * post)[here].sum()) / (2 + count[here].sum())
-        odds = np.log(prior[kinds] / (1 - prior[kinds]))
-        for j in range(votes.shape[1]):
-            odds += np.log(given[j, 1, votes[:, j]] / given[j, 0, votes[:, j]])
+        odds = np.log(prior[kinds] / (1 - prior[kinds])) + votes @ np.log(right / (1 - right))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return given, post.tolist()
+    return right, post.tolist()
 
 
 def _design(kind: int, features: tuple[int, ...]) -> list[float]:
@@ -288,7 +289,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Both are arrays of (start, kind, end) ordered by start, then kind; ``kind`` is a number in ``KINDS``.
     ``spans`` holds the base spans and the proposed ones that the classifier accepts; those that overlap
-    a base span are never accepted.  Null and empty texts have no spans.  Rows are independent but for
+    a base span are accepted only if they contain it.  Null and empty texts have no spans.  Rows are independent but for
     the classifier: repeated rows and null ids come back as they are.
     """
     found = stored(candidates(docs, id_col, text_col), "pii-spans")

@@ -1,0 +1,140 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from glimpsar.llm import html_extract, permutation_index, sharding
+
+from .data import SCHEMA, documents
+
+
+def test_differencing_keeps_totals_and_balances():
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(1, 1000, 500)
+    vectors = np.zeros((500, 24), dtype=np.int64)
+    vectors[:, 0] = sizes
+    total, parts = sharding.difference(vectors)
+    loads = np.bincount(parts[:, 0], weights=sizes, minlength=24)
+    assert (loads == total).all()
+    greedy = np.zeros(24)
+    for s in sorted(sizes, reverse=True):
+        greedy[greedy.argmin()] += s
+    assert total.max() - total.min() <= greedy.max() - greedy.min()
+    again = rng.integers(0, 50, (30, 4))
+    total, parts = sharding.difference(again)
+    assert total.tolist() == [sum(again[i, c] for i in range(30) for c in range(4) if parts[i, c] == p) for p in range(4)]
+    assert all(sorted(row) == [0, 1, 2, 3] for row in parts.tolist())
+
+
+@pytest.mark.parametrize("bucket_items", [20_000, 3])
+def test_shards(spark, monkeypatch, bucket_items):
+    monkeypatch.setattr(sharding, "BUCKET_ITEMS", bucket_items)
+    docs = [*documents(7, 90), (None, "x", *[None] * 7), (1, "x", *[None] * 7), (1, "x", *[None] * 7)]
+    groups = spark.createDataFrame([(str(i), s) for i, s in enumerate(range(1, 41))], "item string, size long")
+    placed = sharding.assign(groups, 4, bucket_items).collect()
+    assert sorted(int(r.item) for r in placed) == list(range(40))
+    loads = [sum(int(r.item) + 1 for r in placed if r.shard == s) for s in range(4)]
+    assert max(loads) - min(loads) <= (2 if bucket_items > 3 else 30)
+    got = sharding.shard(spark.createDataFrame(docs, SCHEMA), 5).collect()
+    assert len(got) == len(docs)
+    by_id = {d[0]: d[1] for d in docs}
+    for r in got:
+        if r.doc_id not in (None, 1):
+            raw = (by_id[r.doc_id] or "").encode()
+            assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
+    for s in range(5):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+    where: dict = {}
+    for d in docs:
+        where.setdefault(d[1], set()).update(r.shard for r in got if r.doc_id == d[0] and r.size == len((d[1] or "").encode()) + 8 and r.text_crc32 == zlib.crc32((d[1] or "").encode()))
+    assert all(len(s) == 1 for t, s in where.items() if t)
+    assert sharding.shard(spark.createDataFrame(docs, SCHEMA).where("false")).count() == 0
+
+
+def _vectors(n=1500, d=16, seed=0):
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((n, d))
+    v[100:400] = v[100]  # ties
+    rows = [(i, [float(x) for x in r], 0, 0.5) for i, r in enumerate(v)]
+    rows[20] = (20, None, 0, 0.5)
+    rows[40] = (40, [0.0] * d, 0, 0.5)
+    rows[60] = (60, [float("nan")] * d, 0, 0.5)
+    rows[80] = (80, [None, *[1.0] * (d - 1)], 0, 0.5)
+    return rows
+
+
+def brute_nearest(rows, ids, k):
+    ok = [(i, np.array(v)) for i, v, *_ in rows if v is not None and None not in v and np.isfinite(v).all() and any(v)]
+    names, m = np.array([i for i, _ in ok]), np.array([v for _, v in ok])
+    out = {}
+    for i, v in ok:
+        if i in ids:
+            s = m @ v
+            order = [j for j in np.lexsort((names, -np.round(s, 12))) if names[j] != i][:k]
+            out[i] = [(int(names[j]), s[j]) for j in order]
+    return out
+
+
+def test_nearest(spark):
+    rows = _vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double")
+    got = permutation_index.search(df, df.where("vec_id % 20 = 0")).collect()
+    want = brute_nearest(rows, set(range(0, 1500, 20)), 20)
+    mine: dict = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        mine.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(mine) == set(want)
+    assert all(len(v) == 20 for v in mine.values())
+    recall = np.mean([len({x for x, _ in mine[q]} & {x for x, _ in want[q]}) / 20 for q in want])
+    assert recall >= 0.9
+    vec = {i: np.array(v) for i, v, *_ in rows if i in mine or v is not None}
+    assert all(abs(s - vec[q] @ vec[x]) < 1e-9 for q, found in mine.items() for x, s in found)
+    tied = {i for i in range(100, 400)}
+    assert [x for x, _ in mine[120]] == [x for x, _ in want[120]]
+    assert {x for x, _ in mine[120]} <= tied
+
+
+def test_few_or_no_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.5, 1.0]), (2, [1.0, 1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    got = permutation_index.search(df, df.where("vec_id = 0")).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2, 1.0), (2, 1, 0.5)]
+    assert permutation_index.search(df.where("false"), df.where("false")).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p><p>no</p>";</script></head><body class="b3">
+<header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><div class="ad-box">Buy <b>now</b></div>
+<article class="post-17"><header><h1>Head &amp; line</h1></header><p>First <b>para
+ graph<br>goes&nbsp;on<p>Second&#33; <a href="x">link</a><ul><li>one<li>two</ul><form><input>Name</form>
+<div class="comments"><p>reader says</p></div><p hidden>not seen</p></article><aside>side</aside><footer>&copy; 2024</footer>"""
+TEXT = "Head & line\nFirst para graph goes on\nSecond! link\none\ntwo"
+
+
+def test_pages(spark):
+    rows = [(1, "http://a.example/1", PAGE), (2, "http://a.example/2", PAGE.replace("post-17", "post-9")), (3, "http://b.example/", "<div><p>a<p>b</div>c"), (4, None, None), (5, "x", ""), (1, "http://a.example/1", PAGE), (None, "http://a.example/3", "<p>cut off <")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = sorted(((r.page_id or 0), r.text) for r in got)
+    assert texts == [(0, "cut off <"), (1, TEXT), (1, TEXT), (2, TEXT), (3, "a\nb\nc"), (4, ""), (5, "")]
+    assert {r.path for r in got if r.page_id in (1, 2)} == {"body.b>article.post-"}
+    assert html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").where("false")).count() == 0
+
+
+def test_hosts_outvote_a_page(spark):
+    """A page whose comments are longer than its article is read where its host's articles are."""
+    good = "<body><div class='story'><p>" + "good words here. " * 20 + "</p></div><div class='replies2'><p>reply</p></div></body>"
+    odd = "<body><div class='story'><p>short story</p></div><div class='chat'><p>" + "chatter " * 200 + "</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", good) for i in range(5)] + [(9, "http://h.example/9", odd)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "short story"
+    assert got[0] == ("good words here. " * 20).strip()
+
+
+def test_markup_noise_never_raises():
+    rnd = random.Random(0)
+    bits = ["<p>", "</p>", "<div class=x>", "</div>", "text ", "&amp", "&lt;", "<!--", "-->", "<script>", "</script>", "<", ">", "</", "<a href='", "'>", "<li>", "<table><tr><td>", "</article>", "<article>", "\x00", "<![CDATA[", "]]>", "<br/>", "<P CLASS=AD>"]
+    for _ in range(500):
+        page = html_extract.parse("".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))))
+        html_extract.text_of(page, None)

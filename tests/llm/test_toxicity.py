@@ -1,0 +1,84 @@
+from __future__ import annotations
+
+import zlib
+
+import pytest
+
+from glimpsar.llm import toxicity as T
+
+
+@pytest.fixture(scope="module")
+def scorer():
+    return T.Scorer(T.Model({"idiot": 3.0}, {"lous": 2.0}))
+
+
+def total(scorer, text):
+    return sum(c[2] for c in scorer.clauses(text))
+
+
+def test_clauses_not_words(scorer):
+    plain = total(scorer, "what an idiot thing")
+    assert total(scorer, "you are an idiot") > plain > total(scorer, "not an idiot thing") > 0
+    assert total(scorer, "someone said idiot") < plain
+    assert total(scorer, 'the sign "idiot" hung there') < plain
+    assert total(scorer, "someone said so. what an idiot thing") == plain  # a clause ends what was reported
+    assert total(scorer, "you will kill it") > total(scorer, "they kill") * 0 + total(scorer, "kill time")
+    assert total(scorer, "lousiest") == 2.0
+    assert scorer.clauses("") == [] == scorer.clauses("nothing here")
+
+
+def test_offsets_lead_to_the_clause(scorer):
+    text = "😀 Fine day. You idiot! Bye"
+    (a, b, _), = scorer.clauses(text)
+    assert text[a:b] == "You idiot"
+
+
+def test_composition_multiplies_scales():
+    one = T.Transducer({(0, T.INSULT): (0, 0.5)}, {})
+    table, final = T.compose(one, one)
+    assert table[0][T.INSULT] == (0, 0.25)
+    assert final == [1.0]
+
+
+def _labelled(spark, n=600):
+    bad = ["idiot", "scum", "moron", "grobrix", "grobral", "grobren"]
+    docs, labels = [], []
+    for i in range(n):
+        toxic = i % 4 == 0
+        words = [f"w{(i * 7 + k * k) % 50}" for k in range(40)]
+        words = [f"{chr(97 + int(w[1:]) % 26)}{chr(97 + int(w[1:]) % 7)}{chr(97 + int(w[1:]) % 11)}ord" for w in words]
+        if toxic:
+            for k in range(3):
+                words[5 + 9 * k] = bad[(i + k * 5) % len(bad)]
+        docs.append((i, " ".join(words), "x"))
+        labels.append((i, 1, int(toxic)))
+    return spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame([*labels, (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+
+
+def test_learns_and_generalises(spark):
+    docs, labels = _labelled(spark)
+    model = T.train(docs, labels)
+    want = {r.doc_id: r.toxic for r in labels.where("doc_id is not null and toxic is not null").collect()}
+    got = {r.doc_id: r.score for r in T.score(docs, model).collect()}
+    held = [i for i in want if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(held) > 50
+    assert sum((got[i] >= 0.5) == bool(want[i]) for i in held) / len(held) > 0.97
+    odd = spark.createDataFrame([(1, None), (2, ""), (None, "grobrum idiot"), (2, "")], "doc_id long, text string")
+    scored = sorted(((r.doc_id or 0, r.score) for r in T.score(odd, model).collect()))
+    assert len(scored) == 4
+    assert scored[0][1] > scored[1][1] == scored[2][1] == scored[3][1]
+    assert all(0 <= s <= 1 for _, s in scored)
+
+
+def test_nothing_to_learn_from(spark):
+    docs, labels = _labelled(spark, 20)
+    model = T.train(docs, labels.where("false"))
+    assert "idiot" in model.words
+    assert T.score(docs.where("false"), model).count() == 0
+    assert T.train(docs.where("false"), labels).words == model.words
+
+
+def test_held_out_rows_teach_nothing(spark):
+    docs, labels = _labelled(spark, 300)
+    flipped = labels.selectExpr("doc_id", "quality", "case when crc32(cast(doc_id as string)) % 5 = 0 then 1 - toxic else toxic end as toxic")
+    assert T.train(docs, labels) == T.train(docs, flipped)

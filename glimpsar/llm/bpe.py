@@ -35,7 +35,7 @@ _QUICK = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s
 _ODD = re.compile(r"[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe]|[^\x00-ɏ‐-‧€]")
 #: Distinct pre-tokens that a worker remembers in each of two generations: when the younger is full, it
 #: takes the older one's place, and what is met again moves back into the younger.
-CACHE_WORDS = 220_000
+CACHE_WORDS = 300_000
 #: Pairs of tokens whose compatibility a task remembers.
 CACHE_PAIRS = 1_000_000
 #: Depth at which branches of the trie are remembered from one traversal to the next, and how many of them.

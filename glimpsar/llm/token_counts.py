@@ -43,18 +43,32 @@ class Counter:
 
     def counts(self, words: list[str]) -> list[int]:
         self.encoder.learn({w for w in words if w not in self.special})
+        return self._known(words)
+
+    def _known(self, words: list[str]) -> list[int]:
         cache = self.encoder.cache
-        return [1 if w in self.special else len(cache[w]) >> 2 for w in words]
+        if self.special and not self.special.keys().isdisjoint(words):
+            return [1 if w in self.special else len(cache[w]) >> 2 for w in words]
+        return [len(ids) >> 2 for ids in map(cache.__getitem__, words)]
+
+    def trees(self, texts: list[str]) -> list[TokenTree]:
+        """Trees of many texts; their distinct pre-tokens are encoded in one traversal."""
+        split = [self.split(t) for t in texts]
+        distinct: set[str] = set()
+        for words in split:
+            distinct.update(words)
+        self.encoder.learn(distinct.difference(self.special))
+        counts = [self._known(words) for words in split]
+        return [TokenTree(w, c, self) for w, c in zip(split, counts, strict=True)]
 
 
 class TokenTree:
     """The segment tree of one document."""
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, words: list[str], counts: list[int], counter: Counter):
         self.counter = counter
         self.reencoded = 0
-        words = counter.split(text)
-        self._build(words, counter.counts(words))
+        self._build(words, counts)
 
     def _build(self, words: list[str], counts: list[int]) -> None:
         self.leaves = [(words[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(words), LEAF)] or [([], [])]
@@ -220,11 +234,8 @@ def count_with_edits(docs: DataFrame, edits_col: str = "edits", path: str | None
         counter = Counter(worker_encoder(content.value))
         for batch in pieces(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            # All distinct pre-tokens of the batch are encoded in one traversal.
-            counter.counts(list({w for t in texts for w in counter.split(t)}))
             out: dict[str, list] = {f: [] for f in _OUT.names[1:]}
-            for text, edits in zip(texts, batch.column("edits").to_pylist(), strict=True):
-                tree = TokenTree(text, counter)
+            for text, tree, edits in zip(texts, counter.trees(texts), batch.column("edits").to_pylist(), strict=True):
                 out["n_tokens"].append(tree.count)
                 out["n_pretokens"].append(sum(len(w) for w, _ in tree.leaves))
                 out["counts"].append([tree.edit(e["start"] or 0, e["removed"] or 0, e["inserted"] or "") for e in edits or [] if e is not None])

@@ -72,7 +72,7 @@ def test_edits_are_counted_as_by_counting_again(library, encoder, monkeypatch):
     counter = token_counts.Counter(encoder)
     for _ in range(250):
         text = "".join(rnd.choice(PARTS) for _ in range(rnd.choice([0, 5, 60, 300])))
-        tree = token_counts.TokenTree(text, counter)
+        (tree,) = counter.trees([text])
         for _ in range(5):
             start, removed, new = rnd.randint(0, len(text) + 3), rnd.choice([0, 1, 4, 200]), "".join(rnd.choice(PARTS) for _ in range(rnd.choice([0, 1, 3, 30])))
             count = tree.edit(start, removed, new)
@@ -83,7 +83,7 @@ def test_edits_are_counted_as_by_counting_again(library, encoder, monkeypatch):
 
 
 def test_a_small_edit_of_a_long_text_encodes_little(encoder):
-    tree = token_counts.TokenTree("some words here. " * 5000, token_counts.Counter(encoder))
+    (tree,) = token_counts.Counter(encoder).trees(["some words here. " * 5000])
     tree.edit(40_000, 3, "other")
     assert tree.reencoded < 20
 

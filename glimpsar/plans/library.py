@@ -38,10 +38,10 @@ def video_frame_grid(spark, sf_dir):
 
 
 @query("incremental_diff", X.sql("f_files_old f_files_new", """
-SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'gone' WHEN o.size = n.size AND o.mtime_ns = n.mtime_ns THEN 'unchanged' ELSE 'changed' END AS action, n.size, n.mtime_ns
+SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'gone' WHEN o.size = n.size AND o.mtime_ns = n.mtime_ns THEN 'unchanged' ELSE 'changed' END AS action, coalesce(n.size, -1) AS size, coalesce(n.mtime_ns, -1) AS mtime_ns
 FROM f_files_old o FULL OUTER JOIN f_files_new n ON o.path = n.path"""))
 def incremental_diff(spark, sf_dir):
-    return L.diff(X.files_old(spark, sf_dir), X.files_new(spark, sf_dir))
+    return L.diff(X.files_old(spark, sf_dir), X.files_new(spark, sf_dir)).fillna(-1, ["size", "mtime_ns"])
 
 
 @query("incremental_pending", X.sql("f_files_old f_files_new", """

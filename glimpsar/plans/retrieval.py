@@ -52,17 +52,17 @@ lastr AS (SELECT object_id, photo_id, max(seq) FILTER (WHERE NOT confirmed) AS r
 st AS (SELECT l.object_id, l.photo_id, l.confirmed, CASE WHEN l.confirmed THEN (SELECT min(f.seq) FROM f_feedback f WHERE f.object_id = l.object_id AND f.photo_id = l.photo_id AND f.confirmed AND f.seq > coalesce(l.rejected_at, -1)) END AS box_seq FROM lastr l)"""
 
 
-@query("feedback_state", X.sql("f_feedback", _STATE.strip() + " SELECT object_id, photo_id, confirmed, box_seq, CAST(count(*) FILTER (WHERE confirmed) OVER (PARTITION BY object_id) AS BIGINT) AS exemplars FROM st"))
+@query("feedback_state", X.sql("f_feedback", _STATE.strip() + " SELECT object_id, photo_id, confirmed, coalesce(box_seq, -1) AS box_seq, CAST(count(*) FILTER (WHERE confirmed) OVER (PARTITION BY object_id) AS BIGINT) AS exemplars FROM st"))
 def feedback_state(spark, sf_dir):
     state = B.feedback_state(X.feedback(spark, sf_dir))
-    return state.withColumn("exemplars", F.count_if("confirmed").over(Window.partitionBy("object_id")))
+    return state.fillna(-1, ["box_seq"]).withColumn("exemplars", F.count_if("confirmed").over(Window.partitionBy("object_id")))
 
 
-@query("feedback_fold", X.sql("f_feedback", _STATE.strip() + " SELECT object_id, photo_id, confirmed, box_seq FROM st"))
+@query("feedback_fold", X.sql("f_feedback", _STATE.strip() + " SELECT object_id, photo_id, confirmed, coalesce(box_seq, -1) AS box_seq FROM st"))
 def feedback_fold(spark, sf_dir):
     """The step by step form agrees with the closed form where nothing is seeded."""
     log = X.feedback(spark, sf_dir).select("object_id", "photo_id", "seq", F.when(F.col("confirmed"), "confirm").otherwise("reject").alias("kind"))
-    return B.fold_ordered(log)
+    return B.fold_ordered(log).fillna(-1, ["box_seq"])
 
 
 @query("recall_with_feedback", X.sql("f_regions f_feedback", _BEST.strip() + "," + _STATE + """

@@ -121,9 +121,9 @@ def timeline_gaps(spark, sf_dir):
 
 
 @query("timeline_year_breaks", X.sql("f_sightings", _GAPS + """
-SELECT object_id, photo_id, CAST(year(taken_at) AS INT) AS year, taken_at IS NOT NULL AND (before IS NULL OR year(before) <> year(taken_at)) AS new_year FROM g"""))
+SELECT object_id, photo_id, CAST(coalesce(year(taken_at), 0) AS INT) AS year, taken_at IS NOT NULL AND (before IS NULL OR year(before) <> year(taken_at)) AS new_year FROM g"""))
 def timeline_year_breaks(spark, sf_dir):
-    return T.with_year_breaks(_seen(spark, sf_dir)).select("object_id", "photo_id", "year", "new_year")
+    return T.with_year_breaks(_seen(spark, sf_dir)).select("object_id", "photo_id", F.coalesce("year", F.lit(0)).alias("year"), "new_year")
 
 
 @query("timeline_summary", X.sql("f_sightings", _SEEN + """,

@@ -18,5 +18,5 @@ def views(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def rows(df: pd.DataFrame) -> list[str]:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        df[c] = [None if v is None or v is pd.NaT or v != v else round(float(v), 9) if isinstance(v, float) else str(v) for v in df[c]]
+        df[c] = [None if pd.isna(v) else round(float(v), 9) if isinstance(v, float) else str(v) for v in df[c]]
     return sorted(map(repr, df.itertuples(index=False, name=None)))

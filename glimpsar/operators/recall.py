@@ -39,9 +39,10 @@ def knn_exact(regions: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     digits before ranking, and ties go to the smaller ``row_id``, so that the order is the same everywhere.
     """
     numbers, matrix = _query_matrix(queries)
-    schema = "query_no int, row_id long, photo_id long, score double"
+    photo = regions.schema["photo_id"].dataType.simpleString()
+    schema = f"query_no int, row_id long, photo_id {photo}, score double"
     if not numbers:
-        return regions.sparkSession.createDataFrame([], "query_no int, rank int, row_id long, photo_id long, score double")
+        return regions.sparkSession.createDataFrame([], f"query_no int, rank int, row_id long, photo_id {photo}, score double")
     shared = regions.sparkSession.sparkContext.broadcast(matrix)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,7 +40,8 @@ def gate_sweep(pairs: DataFrame, positives: Column | None = None) -> DataFrame:
     of = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(0))
     cells = F.broadcast(grid).join(counts, kept).groupBy("threshold", "fraction").agg(of("same").alias("tp"), of("same_class").alias("fp_same_class"), of("unrelated").alias("fp_unrelated"))
     total = scored.agg(F.count_if(F.col("label") == "same").alias("positives"))
-    full = grid.join(cells, ["threshold", "fraction"], "left").fillna(0, ["tp", "fp_same_class", "fp_unrelated"]).crossJoin(F.broadcast(total))
+    # A row per cell of the grid, and one of totals.
+    full = grid.join(F.broadcast(cells), ["threshold", "fraction"], "left").fillna(0, ["tp", "fp_same_class", "fp_unrelated"]).crossJoin(F.broadcast(total))
     wrong = F.col("fp_same_class") + F.col("fp_unrelated")
     precision = F.col("tp") / F.greatest(F.col("tp") + wrong, F.lit(1))
     recall = F.col("tp") / F.greatest(F.col("positives"), F.lit(1))

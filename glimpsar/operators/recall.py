@@ -21,10 +21,6 @@ REGIONS_PER_PHOTO = 20
 MAX_QUERIES = 4096
 
 
-def region_budget(top_k: int, regions: int) -> int:
-    return min(max(top_k * REGIONS_PER_PHOTO, top_k), regions)
-
-
 def _query_matrix(queries: DataFrame) -> tuple[list[int], np.ndarray]:
     rows = queries.select("query_no", "vec").orderBy("query_no").limit(MAX_QUERIES + 1).collect()
     if len(rows) > MAX_QUERIES:
@@ -66,6 +62,24 @@ def knn_exact(regions: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
+def best_scores(regions: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every region with its best score over all query vectors: ``row_id``, ``photo_id``, ``score``."""
+    _, matrix = _query_matrix(queries)
+    photo = regions.schema["photo_id"].dataType.simpleString()
+    if not len(matrix):
+        return regions.sparkSession.createDataFrame([], f"row_id long, photo_id {photo}, score double")
+    shared = regions.sparkSession.sparkContext.broadcast(matrix)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vectors = np.array(batch.column("vec").to_pylist(), dtype=np.float64)
+                top = np.round((shared.value @ vectors.T).max(0), 6)
+                yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("photo_id"), pa.array(top)], names=["row_id", "photo_id", "score"])
+
+    return regions.select("row_id", "photo_id", "vec").mapInArrow(score, f"row_id long, photo_id {photo}, score double")
+
+
 def best_region_per_photo(scored: DataFrame) -> DataFrame:
     """Each photo's best region over all query vectors; the smaller row wins ties."""
     best = F.max(F.struct(F.col("score"), (-F.col("row_id")).alias("r")))
@@ -76,10 +90,9 @@ def top_photos(best: DataFrame, top_k: int) -> DataFrame:
     return best.orderBy(F.desc("score"), "photo_id").limit(top_k)
 
 
-def recall(regions: DataFrame, queries: DataFrame, top_k: int, source: int | None = None, rejected: DataFrame | None = None, n_regions: int | None = None) -> DataFrame:
+def recall(regions: DataFrame, queries: DataFrame, top_k: int, source: int | None = None, rejected: DataFrame | None = None) -> DataFrame:
     """Stage one as a whole.  The source photo and rejected ones are dropped *after* the limit: they use up places."""
-    k = region_budget(top_k, n_regions if n_regions is not None else regions.count())
-    hits = top_photos(best_region_per_photo(knn_exact(regions, queries, k)), top_k)
+    hits = top_photos(best_region_per_photo(knn_exact(regions, queries, top_k * REGIONS_PER_PHOTO)), top_k)
     if source is not None:
         hits = hits.where(F.col("photo_id") != source)
     if rejected is not None:

@@ -35,16 +35,13 @@ def knn_exact(spark, sf_dir):
 
 @query("best_region_per_photo", X.sql("f_regions", _BEST + " SELECT photo_id, score, row_id FROM b"))
 def best_region_per_photo(spark, sf_dir):
-    regions = X.regions(spark, sf_dir)
-    return R.best_region_per_photo(R.knn_exact(regions, _queries(spark, sf_dir), regions.count()))
+    return R.best_region_per_photo(R.best_scores(X.regions(spark, sf_dir), _queries(spark, sf_dir)))
 
 
 @query("recall_topk", X.sql("f_regions", _BEST + " SELECT photo_id, score, row_id FROM t WHERE photo_id <> 0"))
 def recall_topk(spark, sf_dir):
     """The source photo is dropped after the limit, so 19 photos remain."""
-    regions = X.regions(spark, sf_dir)
-    n = regions.count()
-    return R.recall(regions, _queries(spark, sf_dir), TOP_K, SOURCE, n_regions=n)
+    return R.recall(X.regions(spark, sf_dir), _queries(spark, sf_dir), TOP_K, SOURCE)
 
 
 _STATE = """
@@ -72,7 +69,7 @@ def recall_with_feedback(spark, sf_dir):
     regions, log = X.regions(spark, sf_dir), X.feedback(spark, sf_dir)
     own = log.join(F.broadcast(log.agg(F.min("object_id").alias("object_id"))), "object_id")
     rejected = B.feedback_state(own).where("not confirmed")
-    return R.recall(regions, _queries(spark, sf_dir), TOP_K, SOURCE, rejected, regions.count())
+    return R.recall(regions, _queries(spark, sf_dir), TOP_K, SOURCE, rejected)
 
 
 @query("active_exemplars", X.sql("f_photos f_feedback", _STATE.strip() + """,

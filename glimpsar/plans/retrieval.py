@@ -87,15 +87,16 @@ def active_exemplars(spark, sf_dir):
     return R.active_exemplars(fresh, boxes, X.photos(spark, sf_dir).where("photo_id % 11 <> 3"))
 
 
-@query("score_by_class", """
-SELECT a.label = b.label AS same_label, count(*) AS n, round(avg(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS mean_score
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id < 20 GROUP BY 1""")
+@query("score_by_class", X.sql("f_regions", """
+l AS (SELECT r.*, e.label FROM f_regions r JOIN embeddings e ON e.vec_id = r.row_id), q AS (SELECT label AS l, vec AS u FROM l WHERE photo_id = 0)
+SELECT q.l = r.label AS same_label, count(*) AS n, round(avg(list_inner_product(q.u::DOUBLE[], r.vec::DOUBLE[])), 6) AS mean_score FROM l r, q WHERE r.photo_id <> 0 GROUP BY 1"""))
 def score_by_class(spark, sf_dir):
-    """Mean score of the first twenty vectors with all later ones, by whether the labels agree."""
-    e = X.table(spark, sf_dir, "embeddings")
-    a = F.broadcast(e.where("vec_id < 20").select(F.col("vec_id").alias("a"), F.col("embedding").alias("u"), F.col("label").alias("l")))
-    joined = e.join(a, F.col("a") < F.col("vec_id"))
-    return joined.groupBy((F.col("l") == F.col("label")).alias("same_label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(V.dot(F.col("u"), F.col("embedding"))), 6).alias("mean_score"))
+    """Mean score of the source photo's regions with all others, by whether their labels agree."""
+    labels = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label")
+    r = X.regions(spark, sf_dir).join(labels, "row_id")
+    q = F.broadcast(r.where(F.col("photo_id") == SOURCE).select(F.col("label").alias("l"), F.col("vec").alias("u")))  # five regions
+    joined = r.where(F.col("photo_id") != SOURCE).crossJoin(q)
+    return joined.groupBy((F.col("l") == F.col("label")).alias("same_label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(V.dot(F.col("u"), F.col("vec"))), 6).alias("mean_score"))
 
 
 @query("knn_lsh")

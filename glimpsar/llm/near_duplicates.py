@@ -258,9 +258,15 @@ def near_duplicates(
         one.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
         "near-classes",
     )
-    posted = classes.where("n > 0").select("rep", F.explode("bands").alias("hash"))
-    shared = posted.groupBy("hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(posted.join(shared, "hash"), "near-buckets")
+    posted = classes.where("n > 0").select("rep", F.posexplode("bands").alias("band", "hash"))
+    shared = (
+        posted.groupBy("hash")
+        .agg(F.count(F.lit(1)).alias("size"), F.min("band").alias("band"), F.bit_xor(F.xxhash64("rep")).alias("sum"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+        .where("size > 1")
+    )
+    # Buckets with the same members, told by size, ends and a sum of hashes, hold the same pairs: only the first band's stays.
+    first = shared.groupBy("size", "sum", "low", "high").agg(F.min(F.struct("band", "hash")).alias("b")).select("size", "b.hash")
+    members = stored(posted.select("rep", "hash").join(first, "hash"), "near-buckets")
     wanted = stored(members.select(F.col("rep").alias("doc")).distinct(), "near-members")
     small = small_or_hashed(wanted, 16)
     # Rows that repeat an id may differ in text: the digest tells which of them stands for it.

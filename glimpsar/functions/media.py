@@ -83,6 +83,16 @@ def frame_clock(seconds: Column) -> Column:
     return F.concat(F.floor(seconds / 60).cast("string"), F.lit(":"), F.lpad(F.floor(seconds % 60).cast("string"), 2, "0"))
 
 
+def clock_text(at: Column) -> Column:
+    """The time of day; nothing at midnight, which stands for a date without a time."""
+    return F.when((F.hour(at) != 0) | (F.minute(at) != 0), F.date_format(at, "HH:mm"))
+
+
+def box_key(photo: Column, *corners: Column) -> Column:
+    """A photo and a box to four digits, as a key of what has been asked before."""
+    return F.concat(photo.cast("string"), F.lit("|"), F.concat_ws(",", *[F.format_string("%.4f", c) for c in corners]))
+
+
 def instance_of(path: Column) -> Column:
     """The instance a generated file name begins with; null for unrelated pictures."""
     name = basename(path)

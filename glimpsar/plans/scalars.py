@@ -249,6 +249,33 @@ def instance_from_name(spark, sf_dir):
     return df.select("photo_id", "instance", M.label_of(F.col("instance")).alias("label"))
 
 
+@query("clock_text", "SELECT event_id, coalesce(CASE WHEN hour(t) <> 0 OR minute(t) <> 0 THEN strftime(t, '%H:%M') END, '') AS clock FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN date_trunc('day', ts) ELSE ts END AS t FROM events)")
+def clock_text(spark, sf_dir):
+    at = F.when(F.col("event_id") % 5 == 0, F.date_trunc("day", "ts").cast("timestamp_ntz")).otherwise(F.col("ts").cast("timestamp_ntz"))
+    return X.table(spark, sf_dir, "events").select("event_id", F.coalesce(M.clock_text(at), F.lit("")).alias("clock"))
+
+
+@query("area_pixels", X.sql("f_regions", "SELECT row_id, CAST(floor((x2 - x1) * 1599 + 0.5) AS BIGINT) AS w, CAST(floor((y2 - y1) * 1201 + 0.5) AS BIGINT) AS h FROM f_regions"))
+def area_pixels(spark, sf_dir):
+    w, h = G.area_pixels(*[F.col(c) for c in _BOX], F.lit(1599), F.lit(1201))
+    return X.regions(spark, sf_dir).select("row_id", w.alias("w"), h.alias("h"))
+
+
+@query("box_keys", X.sql("f_regions", "SELECT row_id, concat(photo_id, '|', printf('%.4f', x1), ',', printf('%.4f', y1), ',', printf('%.4f', x2), ',', printf('%.4f', y2)) AS box_key FROM f_regions"))
+def box_keys(spark, sf_dir):
+    return X.regions(spark, sf_dir).select("row_id", M.box_key(F.col("photo_id"), *[F.col(c) for c in _BOX]).alias("box_key"))
+
+
+@query("tile_cover", "WITH" + _RAW_BOXES + """,
+c AS (SELECT pair_id, pair_no, x1, y1, x2, y2, greatest(132::DOUBLE / greatest((x2 - x1) * 1600, (y2 - y1) * 1200, 1), 132::DOUBLE / 1600, 132::DOUBLE / 1200) AS s FROM raw),
+d AS (SELECT *, 1600 * s AS w, 1200 * s AS h FROM c)
+SELECT pair_id, pair_no, round(w, 6) AS w, round(h, 6) AS h, round(least(0, greatest(132 - w, 66 - (x1 + x2) / 2 * w)), 6) + 0.0::DOUBLE AS x, round(least(0, greatest(132 - h, 66 - (y1 + y2) / 2 * h)), 6) + 0.0::DOUBLE AS y FROM d""")
+def tile_cover(spark, sf_dir):
+    """How a picture is scaled and shifted to show a box in a tile of 132 pixels."""
+    made = G.cover(*[F.col(c) for c in _BOX], F.lit(1600.0), F.lit(1200.0), 132)
+    return _raw_boxes(spark, sf_dir).select("pair_id", "pair_no", *[(F.round(c, 6) + 0.0).alias(n) for c, n in zip(made, "whxy", strict=True)])  # no negative zero
+
+
 @query("scene_seed")
 def scene_seed(spark, sf_dir):
     """A seed for each scene from its name; DuckDB has no crc32, so only the rows are checked."""

@@ -227,7 +227,7 @@ class Encoder:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
         words = words.difference(cache)
-        known = words.intersection(older)
+        known = {w for w in words if w in older}  # not an intersection, which would walk the whole dict
         for word in known:
             cache[word] = older[word]
         new = sorted(words - known)  # strings sort as their UTF-8 does

@@ -26,11 +26,11 @@ NEIGHBOURS = 20
 #: Pivots are chosen among the distinct vectors by a hash of their components; at most so many.
 PIVOTS = 64
 #: Nearest pivots that a vector is posted to, and that a query looks up.
-POSTED, PROBED = 4, 24
+POSTED, PROBED = 2, 32
 #: Length of the pivot order that footrule distances compare.
 ORDER = 32
 #: Share of an inverted file's block that is reranked for a query, by footrule distance.
-RERANKED = 0.6
+RERANKED = 0.5
 #: Vectors in a block of an inverted file, and queries in a block that is sent there.
 BLOCK, QUERY_BLOCK = 4096, 1024
 
@@ -49,41 +49,51 @@ def orders(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def places(order: np.ndarray, length: int) -> np.ndarray:
     """Place of each pivot in the order, ``length`` for those beyond the first ``length``."""
-    out = np.full(order.shape, length, dtype=np.int16)
-    np.put_along_axis(out, order[:, :length], np.arange(min(length, order.shape[1]), dtype=np.int16)[None, :], axis=1)
+    out = np.full(order.shape, length, dtype=np.uint8)
+    np.put_along_axis(out, order[:, :length], np.arange(min(length, order.shape[1]), dtype=np.uint8)[None, :], axis=1)
     return out
 
 
 def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sums of absolute differences of places, for all rows of ``a`` with all of ``b``."""
-    out = np.zeros((len(a), len(b)), dtype=np.int32)
+    out = np.zeros((len(a), len(b)), dtype=np.int16)
+    a, b = a.astype(np.int16), b.astype(np.int16)
     for p in range(a.shape[1]):
         out += np.abs(a[:, p][:, None] - b[:, p][None, :])
     return out
 
 
 def choose_pivots(vectors: DataFrame, count: int = PIVOTS) -> np.ndarray:
-    """``count`` distinct vectors of unit length, spread by a hash: bounded, whatever the table's size."""
-    v = vectors.groupBy("vec").agg(F.min("id").alias("id")).orderBy(F.xxhash64("vec"), "id").limit(count).collect()
+    """``count`` distinct vectors of unit length, spread by a hash of their components.
+
+    Only some 64 times as many rows as pivots are grouped (all copies of a vector share its hash); the whole table is, if
+    these are too much alike.
+    """
+    share = max(1, vectors.count() // (64 * count))
+    for one_in in sorted({share, 1}, reverse=True):
+        some = vectors.where(F.pmod(F.xxhash64("vec"), F.lit(one_in)) == 0)
+        v = some.groupBy("vec").agg(F.min("id").alias("id")).orderBy(F.xxhash64("vec"), "id").limit(count).collect()
+        if len(v) == count:
+            break
     found = np.array([r.vec for r in v], dtype=np.float64)
     return found / np.linalg.norm(found, axis=1, keepdims=True) if len(found) else found
 
 
-_POSTED = T.StructType(
-    [
-        T.StructField("pivot", T.IntegerType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("vec", T.ArrayType(T.DoubleType())),
-        T.StructField("places", T.BinaryType()),
-    ]
-)
+def _posted(vec: T.DataType) -> T.StructType:
+    """A posting: vectors stay in the type they came in."""
+    return T.StructType(
+        [T.StructField("pivot", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("vec", vec), T.StructField("places", T.BinaryType())]
+    )
+
+
 _FOUND = T.StructType([T.StructField("query", T.LongType()), T.StructField("best", T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("id", T.LongType())])))])
 
 
 def _post(df: DataFrame, pivots: np.ndarray, count: int, order: int) -> DataFrame:
     """A row per vector and each of its ``count`` nearest pivots."""
     shared = df.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors
-    schema = arrow_schema(_POSTED)
+    posted = _posted(df.schema["vec"].dataType)
+    schema = arrow_schema(posted)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -99,7 +109,7 @@ def _post(df: DataFrame, pivots: np.ndarray, count: int, order: int) -> DataFram
                     [pa.array(ranked[:, :n].ravel(), pa.int32()), batch.column("id").take(take), batch.column("vec").take(take).cast(schema.field(2).type), raw.take(take)], schema=schema
                 )
 
-    return mapped(df, rows, _POSTED)
+    return mapped(df, rows, posted)
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int, share: float) -> Iterator[pa.RecordBatch]:
@@ -116,7 +126,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, share: float) -> Iterator
         if not asks.any() or asks.all():
             return
         ids, vecs = np.array(held["id"], dtype=np.int64), np.array(held["vec"], dtype=np.float64)
-        at = np.frombuffer(b"".join(held["places"]), dtype=np.int16).reshape(len(ids), -1)
+        at = np.frombuffer(b"".join(held["places"]), dtype=np.uint8).reshape(len(ids), -1)
         q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
         c = c[np.argsort(ids[c], kind="stable")]
         distance = footrule(at[q], at[c])
@@ -171,7 +181,9 @@ def search(
     null or non-finite components, and rows without an id, take no part.  A query never finds rows of its own id; an id
     that repeats is found once, with its best score.  Fewer candidates give fewer rows.
     """
-    one = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & valid("vec"))
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    one = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec")).where(F.col("id").isNotNull() & valid("vec"))
     base, asked = one(vectors), one(queries)
     chosen = choose_pivots(base, pivots)
     names = ["query_id", "rank", "vec_id", "score"]

@@ -73,7 +73,8 @@ class Vocabulary:
             self.halves.setdefault(made, (a, b))
         self._canonical: dict[int, bool] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
-        self.stems: dict[bytes, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        self.stems: dict[bytes, tuple[int, ...]] = {}
+        self.length = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
         self.splitter = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         #: For three bytes, the lengths of the tokens that end with them or a part of them, longest first.
         self.endings: dict[bytes, tuple[int, ...]] = {}
@@ -140,65 +141,59 @@ class Vocabulary:
 
     def encode_sorted(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """Encodings of sorted distinct words, sharing the work on common prefixes."""
-        ids, endings, pairs, compatible, canonical = self.ids, self.endings, self._pairs, self.compatible, self.canonical
-        stems = self.stems
+        ids, endings, pairs, stems, length = self.ids, self.endings, self._pairs, self.stems, self.length
+        compatible, canonical = self.compatible, self.canonical
         last: list[int] = []  # last token of the prefix that ends after each byte of the path
-        size: list[int] = []
+        push = last.append
         before = b""
         for word in words:
-            shared, most = 0, min(len(before), len(word))
+            total = len(word)
+            shared, most = 0, min(len(before), total)
             if before[:most] == word[:most]:
                 shared = most
             else:
                 while before[shared] == word[shared]:
                     shared += 1
-            if shared < STEM <= len(word):
+            fresh = None
+            if shared < STEM <= total:
                 # A branch of the trie that an earlier traversal has been in is taken up from there.
-                known = stems.get(word[:STEM])
-                if known is not None:
-                    last[:], size[:] = known
-                    shared = STEM
-                else:
-                    del last[shared:], size[shared:]
-            else:
-                del last[shared:], size[shared:]
-            if shared < STEM <= len(word):
                 fresh = word[:STEM]
-            else:
-                fresh = None
-            for end in range(shared + 1, len(word) + 1):
+                known = stems.get(fresh)
+                if known is not None:
+                    last[:] = known
+                    shared, fresh = STEM, None
+            del last[shared:]
+            for end in range(shared + 1, total + 1):
                 tail = word[end - 3 if end > 3 else 0 : end]
-                lengths = endings.get(tail)
-                if lengths is None:
-                    lengths = endings[tail] = self._short(tail)
-                for n in lengths:
-                    if n >= end:
-                        if n > end:
-                            continue
-                        token = ids.get(word[:end])
-                        if token is None or not canonical(token):
-                            continue
-                    else:
+                sizes = endings.get(tail)
+                if sizes is None:
+                    sizes = endings[tail] = self._short(tail)
+                for n in sizes:
+                    if n < end:
                         token = ids.get(word[end - n : end])
                         if token is None:
                             continue
                         left = last[end - n - 1]
                         fits = pairs.get((left, token))
-                        if not (compatible(left, token) if fits is None else fits):
-                            continue
-                    last.append(token)
-                    size.append(n)
-                    break
+                        if fits or (fits is None and compatible(left, token)):
+                            push(token)
+                            break
+                    elif n == end:
+                        token = ids.get(word[:end])
+                        if token is not None and canonical(token):
+                            push(token)
+                            break
                 else:
                     raise ValueError("the vocabulary lacks a byte")
             if fresh is not None:
                 if len(stems) >= CACHE_STEMS:
                     stems.clear()
-                stems[fresh] = (tuple(last[:STEM]), tuple(size[:STEM]))
-            out, end = [], len(word)
+                stems[fresh] = tuple(last[:STEM])
+            out, end = [], total
             while end:
-                out.append(last[end - 1])
-                end -= size[end - 1]
+                token = last[end - 1]
+                out.append(token)
+                end -= length[token]
             out.reverse()
             before = word
             yield out

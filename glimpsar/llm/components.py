@@ -25,7 +25,8 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     else:
         both = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         keep = F.lit(True)
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Stored, so that the join below is of two plain shuffles, and the pairs of a hub can be split among tasks.
+    low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-low")
     linked = both.join(low, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         linked = linked.unionByName(low.select("u", F.col("m").alias("v")))

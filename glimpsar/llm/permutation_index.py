@@ -26,7 +26,7 @@ NEIGHBOURS = 20
 #: Pivots are chosen among the distinct vectors by a hash of their components; at most so many.
 PIVOTS = 64
 #: Nearest pivots that a vector is posted to, and that a query looks up.
-POSTED, PROBED = 2, 32
+POSTED, PROBED = 2, 40
 #: Length of the pivot order that footrule distances compare.
 ORDER = 32
 #: Share of an inverted file's block that is reranked for a query, by footrule distance.

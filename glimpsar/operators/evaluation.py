@@ -16,8 +16,9 @@ CUTOFFS = (5, 7, 10, 20)
 
 def precision_at_k(pairs: DataFrame, order: list, key: str = "query_id", cutoffs=CUTOFFS) -> DataFrame:
     """Labels among the first k of each query's ranking, over all queries."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    top = pairs.select("label", rank.alias("rank")).where(F.col("rank") < max(cutoffs))
+    number = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    # The filter is on the number itself, so that only the first rows of each query are sorted and kept.
+    top = pairs.withColumn("number", number).where(F.col("number") <= max(cutoffs)).select("label", (F.col("number") - 1).alias("rank"))
     counts = top.groupBy("label", "rank").agg(F.count(F.lit(1)).alias("n"))  # a few rows for each rank
     grid = top.sparkSession.createDataFrame([(k,) for k in cutoffs], "k int")
     of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))

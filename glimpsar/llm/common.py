@@ -72,8 +72,12 @@ def mapped(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[pa
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from rows(batches)
-        release()
+        gc.disable()  # tasks make no cycles, and the collector would walk their caches again and again
+        try:
+            yield from rows(batches)
+        finally:
+            gc.enable()
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -41,15 +41,18 @@ class Counter:
             out += [part] if i % 2 else self.encoder.pretokens(part)
         return out
 
-    def counts(self, words: list[str]) -> list[int]:
-        self.encoder.learn({w for w in words if w not in self.special})
-        return self._known(words)
-
-    def _known(self, words: list[str]) -> list[int]:
+    def _sizes(self, distinct: set[str]) -> dict[str, int]:
+        """Tokens of each of some pre-tokens; a special token's string is one."""
+        plain = distinct.difference(self.special)
+        self.encoder.learn(plain)
         cache = self.encoder.cache
-        if self.special and not self.special.keys().isdisjoint(words):
-            return [1 if w in self.special else len(cache[w]) >> 2 for w in words]
-        return [len(ids) >> 2 for ids in map(cache.__getitem__, words)]
+        sizes = {w: len(cache[w]) >> 2 for w in plain}
+        for w in distinct - plain:
+            sizes[w] = 1
+        return sizes
+
+    def counts(self, words: list[str]) -> list[int]:
+        return list(map(self._sizes(set(words)).__getitem__, words))
 
     def trees(self, texts: list[str]) -> list[TokenTree]:
         """Trees of many texts; their distinct pre-tokens are encoded in one traversal."""
@@ -57,9 +60,8 @@ class Counter:
         distinct: set[str] = set()
         for words in split:
             distinct.update(words)
-        self.encoder.learn(distinct.difference(self.special))
-        counts = [self._known(words) for words in split]
-        return [TokenTree(w, c, self) for w, c in zip(split, counts, strict=True)]
+        size = self._sizes(distinct).__getitem__
+        return [TokenTree(words, list(map(size, words)), self) for words in split]
 
 
 class TokenTree:
@@ -232,7 +234,7 @@ def count_with_edits(docs: DataFrame, edits_col: str = "edits", path: str | None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(worker_encoder(content.value))
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             out: dict[str, list] = {f: [] for f in _OUT.names[1:]}
             for text, tree, edits in zip(texts, counter.trees(texts), batch.column("edits").to_pylist(), strict=True):

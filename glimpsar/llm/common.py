@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -25,10 +26,12 @@ BATCH_ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (plain local tests) a temporary folder of this machine is set.
+    Where the session names none, a plain local one gets a temporary folder of this machine; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"glimpsar-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

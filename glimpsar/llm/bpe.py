@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, mapped, pieces
+from .common import arrow_schema, mapped, pieces, release
 
 # The pattern that splits texts into pre-tokens, as the vocabulary was made with it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,11 +35,11 @@ _QUICK = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s
 _ODD = re.compile(r"[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe]|[^\x00-ɏ‐-‧€]")
 #: Distinct pre-tokens that a worker remembers in each of two generations: when the younger is full, it
 #: takes the older one's place, and what is met again moves back into the younger.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Pairs of tokens whose compatibility a task remembers.
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 250_000
 #: Depth at which branches of the trie are remembered from one traversal to the next, and how many of them.
-STEM, CACHE_STEMS = 5, 100_000
+STEM, CACHE_STEMS = 5, 60_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -205,10 +205,11 @@ class Vocabulary:
 class Encoder:
     """Encodes texts, a batch at a time, remembering the distinct pre-tokens met so far."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, cache_words: int | None = None):
         import regex
 
         self.vocabulary = vocabulary
+        self.cache_words = cache_words or CACHE_WORDS
         self.exact = regex.compile(PATTERN)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -218,7 +219,7 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Have all of ``words`` in the cache."""
-        if len(self.cache) + len(words) > CACHE_WORDS:
+        if len(self.cache) + len(words) > self.cache_words:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
         words = words.difference(cache)
@@ -254,12 +255,13 @@ class Encoder:
 _encoders: dict[int, Encoder] = {}
 
 
-def worker_encoder(content: str) -> Encoder:
+def worker_encoder(content: str, cache_words: int | None = None) -> Encoder:
     """One encoder per Python worker, kept from task to task."""
-    key = hash(content)
+    key = hash((content, cache_words))
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(Vocabulary(content))
+        _encoders[key] = Encoder(Vocabulary(content), cache_words)
+        release()  # of what reading the file has left behind
     return _encoders[key]
 
 

@@ -23,6 +23,8 @@ from .common import arrow_schema, mapped, pieces
 LEAF, FULL_LEAF = 64, 512
 #: Characters looked at beyond an edit before boundaries are compared; doubled until they meet.
 AHEAD = 64
+#: Distinct pre-tokens that a worker remembers per generation; there is no other state to hold here.
+CACHE_WORDS = 350_000
 
 
 class Counter:
@@ -233,8 +235,8 @@ def count_with_edits(docs: DataFrame, edits_col: str = "edits", path: str | None
     schema = arrow_schema(_OUT)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(worker_encoder(content.value))
-        for batch in pieces(batches, "text", 2 << 20):
+        counter = Counter(worker_encoder(content.value, CACHE_WORDS))
+        for batch in pieces(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             out: dict[str, list] = {f: [] for f in _OUT.names[1:]}
             for text, tree, edits in zip(texts, counter.trees(texts), batch.column("edits").to_pylist(), strict=True):

@@ -98,6 +98,24 @@ def test_nearest(spark):
     assert {x for x, _ in mine[120]} <= tied
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5])
+def test_nearest_in_clusters(spark, spread):
+    """Clustered vectors, of unit length and of unequal lengths, with the shipped parameters."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 64))
+    v = centres[rng.integers(0, 20, 3000)] / 8 + rng.standard_normal((3000, 64)) / 16
+    v *= (np.exp(spread * rng.standard_normal(3000)) / np.linalg.norm(v, axis=1))[:, None]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    mine: dict = {}
+    for r in permutation_index.search(df, df.where("vec_id % 20 = 0")).collect():
+        mine.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute_nearest(rows, set(range(0, 3000, 20)), 20)
+    recall = [len(mine[q] & {x for x, _ in want[q]}) / 20 for q in want]
+    assert np.mean(recall) >= 0.99
+    assert min(recall) >= 0.9
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.5, 1.0]), (2, [1.0, 1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = permutation_index.search(df, df.where("vec_id = 0")).collect()

@@ -29,8 +29,8 @@ from .sources.store import IndexStore
 Box = tuple[float, float, float, float]
 #: Photos that stage two looks at for one query.
 TOP_K = 200
-#: Exemplars of an object that are used; an object has one per confirmed photo.
-MAX_EXEMPLARS = 256
+#: Exemplars whose crops are broadcast together; an object has one per confirmed photo, and all are used.
+EXEMPLAR_BLOCK = 32
 
 
 class TableFeatures:
@@ -116,7 +116,7 @@ class Library:
         log = self._log(object_id)
         kept = B.feedback_state(log).where("confirmed").join(log.select(F.col("seq").alias("box_seq"), "box"), "box_seq")
         live = kept.join(self.store.table("photos").select("photo_id"), "photo_id", "left_semi")
-        return [(r.photo_id, tuple(r.box)) for r in live.orderBy("box_seq").limit(MAX_EXEMPLARS).collect()]
+        return [(r.photo_id, tuple(r.box)) for r in live.orderBy("box_seq").collect()]  # one user's taps
 
     def exemplar_count(self, object_id: str) -> int:
         return B.feedback_state(self._log(object_id)).where("confirmed").count()
@@ -167,43 +167,61 @@ class Library:
         return Answer(name, placed.orderBy("place"), T.last_seen(matches, tie="stage_one"), candidates)
 
     def _recall(self, exemplars: list[tuple[str, Box]], top_k: int) -> DataFrame:
+        """Stage one with all exemplars.  Query vectors are split where there are more than ``R.MAX_QUERIES``; each has
+        its own best regions, so the split changes nothing."""
         spark, vectors = self.store.spark, []
         for photo, box in exemplars:
             x1, y1, x2, y2 = box
             grown = [(max(0.0, x1 - (x2 - x1) * s), max(0.0, y1 - (y2 - y1) * s), min(1.0, x2 + (x2 - x1) * s), min(1.0, y2 + (y2 - y1) * s)) for s in G.DILATIONS]
             vectors += self.features.vectors(photo, grown)
-        queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "query_no int, vec array<float>")
         regions = self.store.table("regions").select(F.xxhash64("photo_id", "region_no").alias("row_id"), "photo_id", "vec")
-        return R.recall(regions, queries, top_k)
+        found = None
+        for lo in range(0, max(1, len(vectors)), R.MAX_QUERIES):
+            queries = spark.createDataFrame([(lo + i, [float(x) for x in v]) for i, v in enumerate(vectors[lo : lo + R.MAX_QUERIES])], "query_no int, vec array<float>")
+            part = R.best_region_per_photo(R.knn_exact(regions, queries, top_k * R.REGIONS_PER_PHOTO))
+            found = part if found is None else found.unionByName(part)
+        return R.top_photos(R.best_region_per_photo(found), top_k)
 
     def _verified(self, exemplars: list[tuple[str, Box]], shortlist: DataFrame) -> DataFrame:
         """Detections of every exemplar in every shortlisted photo.
 
-        Exemplars' features are a bounded few and are broadcast; a photo's keypoints are one group, bounded by the detector.
+        Exemplars' features are broadcast in blocks of a bounded few; a photo's keypoints are one group, bounded by the detector.
         """
-        crops = []
-        for photo, box in exemplars:
-            p = self.photo(photo)
-            xy, desc, size = self.features.keypoints(photo, box, p.width, p.height)
-            if len(desc):
-                crops.append((len(crops), xy, desc, size))
-        shared = self.store.spark.sparkContext.broadcast(crops)
         photos = self.store.table("photos").select("photo_id", "width", "height")
         points = self.store.table("keypoints").join(F.broadcast(shortlist.select("photo_id")), "photo_id").join(F.broadcast(photos.join(shortlist.select("photo_id"), "photo_id", "left_semi")), "photo_id")
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            first = pdf.iloc[0]
-            pdf = pdf.sort_values("kp_no")
-            places, theirs = pdf[["x", "y"]].to_numpy(), np.array(pdf["desc"].tolist(), dtype=float)
-            rows = []
-            for number, xy, desc, size in shared.value:
-                pairs = ratio_matches(desc, theirs)
-                found = K.detect(xy[pairs[:, 0]], places[pairs[:, 1]], size, (first.width, first.height))
-                rows += [(first.photo_id, number, n, f["inliers"], f["matches"], f["scale"], *(f["box"] or [None] * 4)) for n, f in enumerate(found)]
-            out = pd.DataFrame(rows, columns=["photo_id", "exemplar_no", "detection", "inliers", "matches", "scale", "x1", "y1", "x2", "y2"])
-            return out.astype({c: "float64" for c in ("scale", "x1", "y1", "x2", "y2")})
-
-        return points.select("photo_id", "kp_no", "x", "y", "desc", "width", "height").groupBy("photo_id").applyInPandas(run, f"photo_id string, exemplar_no int, {K.VERIFIED}")
+        groups = points.select("photo_id", "kp_no", "x", "y", "desc", "width", "height").groupBy("photo_id")
+
+        def verified(crops: list[tuple]) -> DataFrame:
+            shared = self.store.spark.sparkContext.broadcast(crops)
+
+            def run(pdf: pd.DataFrame) -> pd.DataFrame:
+                first = pdf.iloc[0]
+                pdf = pdf.sort_values("kp_no")
+                places, theirs = pdf[["x", "y"]].to_numpy(), np.array(pdf["desc"].tolist(), dtype=float)
+                rows = []
+                for number, xy, desc, size in shared.value:
+                    pairs = ratio_matches(desc, theirs)
+                    found = K.detect(xy[pairs[:, 0]], places[pairs[:, 1]], size, (first.width, first.height))
+                    rows += [(first.photo_id, number, n, f["inliers"], f["matches"], f["scale"], *(f["box"] or [None] * 4)) for n, f in enumerate(found)]
+                out = pd.DataFrame(rows, columns=["photo_id", "exemplar_no", "detection", "inliers", "matches", "scale", "x1", "y1", "x2", "y2"])
+                return out.astype({c: "float64" for c in ("scale", "x1", "y1", "x2", "y2")})
+
+            return groups.applyInPandas(run, f"photo_id string, exemplar_no int, {K.VERIFIED}")
+
+        out, number = None, 0
+        for lo in range(0, len(exemplars), EXEMPLAR_BLOCK):
+            block, crops = exemplars[lo : lo + EXEMPLAR_BLOCK], []
+            sizes = {r.photo_id: r for r in photos.where(F.col("photo_id").isin([p for p, _ in block])).collect()}
+            for photo, box in block:
+                xy, desc, size = self.features.keypoints(photo, box, sizes[photo].width, sizes[photo].height)
+                if len(desc):
+                    crops.append((number, xy, desc, size))
+                    number += 1
+            if crops:
+                part = verified(crops)
+                out = part if out is None else out.unionByName(part)
+        return verified([]) if out is None else out
 
     def _candidates(self, hits: DataFrame, exemplars: list[tuple[str, Box]]) -> DataFrame:
         """Shortlisted photos with their best exemplar's first detection, and how many detections pass the gate."""

@@ -91,6 +91,39 @@ def test_top_k_counts_the_source(library):
     assert library.query("a0", BOX, top_k=1).candidates.count() <= 1
 
 
+def test_every_confirmed_view_is_used(spark, tmp_path, monkeypatch):
+    """The newest of 260 confirmed views is the only one that finds p259 and x; y looks a little like all the others."""
+    from glimpsar.operators import recall
+
+    rng = np.random.default_rng(2)
+    xy, desc = rng.uniform(0, 200, (40, 2)), rng.standard_normal((40, 16))
+    store = IndexStore(spark, str(tmp_path / "t"), "planted")
+    store.create()
+    names = [*(f"p{i:03d}" for i in range(260)), "x", "y"]
+    photos = spark.createDataFrame([(p, f"/lib/{p}.jpg", None, None, None, False, None, 1000, 800, 1, 1) for p in names], SCHEMAS["photos"])
+    store.append("photos", photos)
+    vecs = {"p000": [1.0, 0.0], "y": [0.8, 0.6], "x": [0.0, 1.0], "p259": [0.0, 1.0]}
+    store.append("regions", spark.createDataFrame([(p, 0, *BOX, v) for p, v in vecs.items()], SCHEMAS["regions"]))
+    points = [("x", 1, 1, n, float(p[0] + 300), float(p[1] + 250), [float(v) for v in d]) for n, (p, d) in enumerate(zip(xy, desc, strict=True))]
+    store.append("keypoints", spark.createDataFrame(points, SCHEMAS["keypoints"].replace("`desc`", "desc")))
+    store.append("feedback", spark.createDataFrame([(i + 1, "o", f"p{i:03d}", True, BOX) for i in range(260)], store.table("feedback").schema))
+
+    class Features:
+        def vectors(self, photo_id, boxes):
+            return [vecs["x"] if photo_id == "p259" else [1.0, 0.0]] * len(boxes)
+
+        def keypoints(self, photo_id, box, width, height):
+            some = slice(None) if photo_id == "p259" else slice(0, 0)
+            return xy[some], desc[some], (200.0, 200.0)
+
+    monkeypatch.setattr(recall, "MAX_QUERIES", 500)  # 780 query vectors in two blocks
+    library = Library(store, Features())
+    assert len(library._exemplars("o")) == library.exemplar_count("o") == 260
+    got = {r.photo_id: r for r in library.query("p000", BOX, top_k=3, object_id="o").matches.collect()}
+    assert {p: r.inliers for p, r in got.items()} == {"x": 40, "p259": 30}
+    assert (got["p259"].x1, got["p259"].y2) == (0.25, 0.75)
+
+
 def test_ratio_matches_are_brute_force():
     rng = np.random.default_rng(1)
     q, c = rng.standard_normal((600, 6)), rng.standard_normal((50, 6))

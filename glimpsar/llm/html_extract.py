@@ -3,7 +3,8 @@
 Every page's containers are scored (text in blocks, less the text in links, of the container itself and, at a
 discount, of its children).  The best container's generalised path, tags with classes whose digits
 are dropped, is the page's vote.  Votes are counted per host in Spark, and every page is extracted again from the
-container on its host's winning path; a page without that path uses its own best one.
+container on its host's winning path; a page without that path uses its own best one.  A container within an
+article (or within the page's main part) stands for the whole of it, so headings and sections beside it stay.
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ class Node:
     own: int = 0  # characters of text in this container's blocks, children's not counted
     linked: int = 0
     blocks: int = 0
+    tag: str = ""
 
 
 @dataclass
@@ -182,7 +184,7 @@ def parse(html: str) -> Page:
         stack.append((name, container, skipped))
         if name in _CONTAINERS:
             node = page.nodes[container]
-            page.nodes.append(Node(f"{node.path}>{step}" if node.path else step, node, skipped or noisy))
+            page.nodes.append(Node(f"{node.path}>{step}" if node.path else step, node, skipped or noisy, tag=name))
             container = len(page.nodes) - 1
         skipped = skipped or noisy
     flush()
@@ -207,15 +209,32 @@ def best(page: Page) -> int:
 
 
 def text_of(page: Page, winner: str | None) -> str:
-    """The blocks within the containers on the path ``winner`` (the best container, if there is none)."""
+    """The blocks of the articles around the containers on the path ``winner`` (the best container, if there is none).
+
+    Without an article it is the main part, less containers beside the winner that are mostly links; without that, the container.
+    """
     chosen = {i for i, n in enumerate(page.nodes) if winner is not None and n.path == winner and not n.skipped}
     if not chosen:
         chosen = {best(page)}
-    inside = set(chosen)
     numbers = {id(n): i for i, n in enumerate(page.nodes)}
+    inside, wide, between = set(chosen), set(), set()
+    for i in chosen:
+        way = [page.nodes[i]]
+        while way[-1].parent is not None:
+            way.append(way[-1].parent)
+        for tag, kept in (("article", inside), ("main", wide)):
+            at = next((k for k, n in enumerate(way) if n.tag == tag), None)
+            if at is not None:
+                kept.add(numbers[id(way[at])])
+                between |= {numbers[id(n)] for n in way[:at]}
+                break
     for i, n in enumerate(page.nodes):
-        if n.parent is not None and numbers[id(n.parent)] in inside:
+        over = None if n.parent is None else numbers[id(n.parent)]
+        if over in inside:
             inside.add(i)
+        elif over in wide and (i in between or 2 * n.linked <= n.own):
+            wide.add(i)
+    inside |= wide
     return "\n".join(b for i, b in page.blocks if i in inside)
 
 

@@ -150,6 +150,16 @@ def test_hosts_outvote_a_page(spark):
     assert got[0] == ("good words here. " * 20).strip()
 
 
+def test_nothing_of_a_wrapped_article_is_dropped(spark):
+    body = "<div class=body><p>" + "long text. " * 40 + "</p></div>"
+    article = f"<body><div class=menu2><a href=x>Home</a></div><article><h1>Title</h1><div class=lead>Lead</div>{body}<section><h2>More</h2><p>Last</p></section></article><p>outside</p>"
+    main = f"<body><main><h1>Title</h1>{body}<div class=cards><a href=x>Other story</a></div><section>Last</section></main><p>outside</p>"
+    rows = [(1, "http://a.example/", article), (2, "http://b.example/", main)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = ("long text. " * 40).strip()
+    assert got == {1: f"Title\nLead\n{text}\nMore\nLast", 2: f"Title\n{text}\nLast"}
+
+
 def test_markup_noise_never_raises():
     rnd = random.Random(0)
     bits = ["<p>", "</p>", "<div class=x>", "</div>", "text ", "&amp", "&lt;", "<!--", "-->", "<script>", "</script>", "<", ">", "</", "<a href='", "'>", "<li>", "<table><tr><td>", "</article>", "<article>", "\x00", "<![CDATA[", "]]>", "<br/>", "<P CLASS=AD>"]

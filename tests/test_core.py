@@ -143,3 +143,13 @@ def test_upper_median_and_full_grid(spark):
     sweep = evaluation.gate_sweep(pairs)
     assert sweep.count() == 66
     assert evaluation.best_gate(sweep).count() == 1
+
+
+def test_no_pair_of_matches_is_passed_over():
+    """Five matches of 300 agree, and none of their pairs is among every fourth one."""
+    rng = np.random.default_rng(24)
+    src, dst = rng.uniform(0, 10000, (300, 2)), rng.uniform(0, 10000, (300, 2))
+    true = np.sort(rng.choice(300, 5, replace=False))
+    dst[true] = _similar(src[true])
+    _, inside = matching.fit_similarity(src, dst)
+    assert np.flatnonzero(inside).tolist() == true.tolist()

@@ -84,7 +84,7 @@ def compose(*parts: Transducer) -> tuple[list[list[tuple[int, float]]], list[flo
 
 
 def grammar() -> tuple[list[list[tuple[int, float]]], list[float]]:
-    """Insult, threat, target, negation and reported speech in one machine."""
+    """Threat, target, negation and reported speech in one machine; an insult is a token with a learned weight, not a pattern."""
     target = Transducer({(0, TARGET): (1, 1.0)}, {}, {1: 1.25})
     # A threat counts in full once a target has been named, and little before.
     threat = Transducer({(0, TARGET): (1, 1.0), (0, THREAT): (0, 0.2), (1, THREAT): (1, 1.0)}, {})

@@ -117,10 +117,61 @@ def test_nearest_in_clusters(spark, spread):
 
 
 def test_few_or_no_vectors(spark):
-    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.5, 1.0]), (2, [1.0, 1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.5, 1.0]), (2, [1.0, 1.0]), (None, [1.0, 1.0]), (3, [9.0, 9.0, 9.0]), (4, [])], "vec_id long, embedding array<float>")
     got = permutation_index.search(df, df.where("vec_id = 0")).collect()
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2, 1.0), (2, 1, 0.5)]
     assert permutation_index.search(df.where("false"), df.where("false")).count() == 0
+    assert permutation_index.search(df, df.where("false")).count() == 0
+
+
+def test_nearest_of_repeated_ids_copies_and_odd_lengths(spark):
+    """Rows and ids that repeat, copies on both sides, and lengths whose squares are beyond the range of doubles."""
+    v = [[1.0, 2.0], [1.0, 2.0], [2.0, 1.0], [3.0, 0.5], [1.0, 2.0], [0.5, 0.5]]
+    rows = [(0, v[0]), (0, v[0]), (0, v[2]), (5, v[1]), (5, v[3]), (7, v[4]), (7, v[4]), (9, v[5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in permutation_index.search(df, df.where("vec_id in (0, 5)"), k=2).collect()}
+    best = lambda q, x: max(np.dot(a, b) for i, a in rows for j, b in rows if i == q and j == x)
+    want = {(q, n + 1): (x, best(q, x)) for q in (0, 5) for n, x in enumerate(sorted({0, 5, 7, 9} - {q}, key=lambda x: (-best(q, x), x))[:2])}
+    assert got == want
+    far = spark.createDataFrame([(i, [x * s for x in r]) for i, (r, s) in enumerate(zip(v[2:], (1e200, 1e-200, 1.0, 1e150), strict=True))], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in sorted(permutation_index.search(far, far.where("vec_id = 2")).collect(), key=lambda r: r["rank"])] == [0, 3, 1]
+
+
+@pytest.mark.parametrize("block", [8192, 100])
+def test_ties_go_to_the_smaller_id_wherever_they_are(spark, monkeypatch, block):
+    """Vectors that differ, but not for any query: their scores are the same to the last bit, in every block of a file."""
+    monkeypatch.setattr(permutation_index, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((2000, 33))
+    v[::20, 20:] = 0  # queries
+    alike = [i for i in range(500, 1500) if i % 20]
+    v[alike, :20] = v[0, :20]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = permutation_index.search(df, df.where("vec_id = 0"), k=20, files=16, probed=16).collect()
+    assert len({r.score for r in got if r.vec_id in alike}) == 1
+    got = [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.vec_id in alike]
+    assert got == sorted(got)
+
+
+def test_few_are_reranked(spark, tmp_path):
+    """The share that is reranked falls as the table grows, and recall stays."""
+    rng = np.random.default_rng(2)
+    shares = []
+    for n in (4000, 16_000):
+        v = rng.standard_normal((n, 24)).astype(np.float32)
+        path = f"{tmp_path}/{n}"
+        spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, vec array<float>").write.parquet(path)
+        base = spark.read.parquet(path)
+        asked = base.where("id % 100 = 0")
+        scored = permutation_index._found(base, asked, 24, 20, permutation_index.PIVOTS, None, None)[0].groupBy("query").sum("scored").collect()
+        assert len(scored) == n // 100
+        shares.append(np.mean([r[1] for r in scored]) / n)
+        mine: dict = {}
+        for r in permutation_index.search(base, asked, id_col="id", vec_col="vec").collect():
+            mine.setdefault(r.query_id, set()).add(r.vec_id)
+        want = brute_nearest([(i, x.astype(float).tolist()) for i, x in enumerate(v)], set(range(0, n, 100)), 20)
+        assert np.mean([len(mine[q] & {x for x, _ in want[q]}) / 20 for q in want]) >= 0.9
+    assert shares[1] < shares[0] / 2
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p><p>no</p>";</script></head><body class="b3">

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -211,9 +212,72 @@ def test_nothing_of_a_wrapped_article_is_dropped(spark):
     assert got == {1: f"Title\nLead\n{text}\nMore\nLast", 2: f"Title\n{text}\nLast"}
 
 
+def test_words_in_class_or_id_do_not_drop_an_article(spark):
+    pages = {
+        '<article><div class="post social-share"><p>Real article</p></div></article>': "Real article",
+        '<body><div class="widget-area main-content"><p>Text</p></div></body>': "Text",
+        '<article><p>One</p><p id="post-comment-rules">Two</p></article>': "One\nTwo",
+        '<body><form id="f"><div><h1>T</h1><p>all of the page</p></div></form></body>': "T\nall of the page",
+        "<body><article><p>short</p><div class=comments><p>" + "chat " * 300 + "</p></div></article></body>": "short",
+        "<body><article><p>s</p></article><footer>" + "long " * 50 + "</footer></body>": "s",
+        "<body><aside><article><p>teaser</p></article></aside><main><p>the longer main part</p><div class='ad-box'>buy</div></main></body>": "the longer main part",
+        "<div class=sidebar-layout><article><p>in a wrapper</p></article></div>": "in a wrapper",
+    }
+    rows = [(i, f"http://h{i}.example/", x) for i, x in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(pages.values()))
+
+
+def test_a_host_agrees_about_noise(spark):
+    """One page's box takes most of its article; the pages of the host where it does not decide."""
+    page = "<article><p>%s</p><div class=box-widget><p>%s</p></div></article>"
+    rows = [(i, f"http://h.example/{i}", page % ("article " * 40, "see more")) for i in range(4)] + [(9, "http://h.example/9", page % ("brief", "see " * 60))]
+    rows += [(20 + i, f"http://other.example/{i}", page % ("brief", "all of the article " * 9)) for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == ("article " * 40).strip()
+    assert got[9] == "brief"
+    assert got[20].startswith("brief\nall of the article")
+
+
+def test_made_pages_give_what_they_were_made_of(spark):
+    """Pages put together from a known article, with other parts around and within it, under each host's own class names."""
+    rnd = random.Random(5)
+    say = lambda n: " ".join(rnd.choice("lorem ipsum dolor sit amet & consetetur <sadipscing> elitr".split()) for _ in range(n))
+    show = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&#62;")
+    rows, want = [], {}
+    for i in range(120):
+        host = i % 4
+        blocks = [say(rnd.randint(1, 40)) for _ in range(rnd.randint(1, 9))]
+        inner = "".join(f"<p class=t{rnd.randint(1, 9)}>{show(b)}\n" + rnd.choice(["</p>", ""]) for b in blocks)
+        for part in ("div class=share-bar", "ul class=social", "div id=comments", "div class='ad ad-3'", "aside", "form"):
+            if rnd.random() < 0.4:
+                inner += f"<{part}><p>{show(say(rnd.randint(1, 5)))}</p></{part.split()[0]}>"
+        body = [f"<article class=a{i}>{inner}</article>", f"<main><div class=c{i}>{inner}</div></main>", f"<div class='content x{i}'>{inner}</div>", f"<form><section class=story>{inner}</section></form>"][host]
+        around = lambda tag: f"<{tag}><a href=/>{show(say(3))}</a></{tag}>"
+        html = f"<html><head><title>{show(say(3))}</title><script>if (a<b) '</p>'</script></head><body>{around('header')}{around('nav')}{body}{around('footer')}"
+        rows.append((i, f"https://h{host}.example/{i}", html, "x", 1))
+        want[i] = "\n".join(" ".join(b.split()) for b in blocks)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path int")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == want
+
+
+def test_long_and_deep_pages(spark):
+    """Half a megabyte of nested or unclosed tags, and a text of millions of characters."""
+    deep = ["<div class=a>" * 40_000 + "x", "<b>" * 50_000 + "<article>" + "<i>y</b>" * 40_000, "<form><aside>" * 30_000 + "z", "<li>a" * 60_000, "<p>" + "long words " * 400_000]
+    began = time.perf_counter()
+    rows = [(i, "http://a.example/", x) for i, x in enumerate(deep)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[0] == "x"
+    assert got[1] == "y" * 40_000
+    assert got[3] == "\n".join("a" * 60_000)
+    assert got[4] == ("long words " * 400_000).strip()
+
+
 def test_markup_noise_never_raises():
     rnd = random.Random(0)
     bits = ["<p>", "</p>", "<div class=x>", "</div>", "text ", "&amp", "&lt;", "<!--", "-->", "<script>", "</script>", "<", ">", "</", "<a href='", "'>", "<li>", "<table><tr><td>", "</article>", "<article>", "\x00", "<![CDATA[", "]]>", "<br/>", "<P CLASS=AD>"]
     for _ in range(500):
         page = html_extract.parse("".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))))
-        html_extract.text_of(page, None)
+        html_extract.text_of(page)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -99,6 +99,23 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def col(name: str) -> Column:
+    """A column by its very name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column in ``taken`` has, in any case."""
+    held = {name.lower() for name in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """``batches`` cut and joined so that ``column``'s strings come to about ``limit`` bytes (one row at least)."""
     held: list[pa.RecordBatch] = []
@@ -123,6 +140,25 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
         yield joined()
 
 
+def extended(docs: DataFrame, text_col: str, made: Callable[[], Callable[[pa.RecordBatch, int], list]], fields: list[T.StructField], limit: int = 4 << 20) -> DataFrame:
+    """``docs`` and more columns that each row's text decides; no row is moved, and other columns pass, whatever their names.
+
+    ``made`` is called once in a task; what it gives turns a batch and the number of its text column into the new columns.
+    """
+    at, schema = docs.columns.index(text_col), T.StructType([*docs.schema.fields, *fields])
+    out_schema = arrow_schema(schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more = made()
+        for batch in pieces(batches, str(at), limit):
+            own = [batch.column(i).cast(out_schema.field(i).type) for i in range(batch.num_columns)]
+            new = [pa.array(c, out_schema.field(len(own) + i).type) for i, c in enumerate(more(batch, at))]
+            yield pa.RecordBatch.from_arrays([*own, *new], schema=out_schema)
+
+    # Spark does not pass columns with odd names (``a.b``) to Python: they go by number, and come back under their names.
+    return mapped(docs.toDF(*map(str, range(len(docs.columns)))), rows, schema)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The values of a string column as bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -9,8 +9,10 @@ is found are word positions, and the offsets of the words lead back to the origi
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import pyarrow as pa
@@ -18,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, mapped, pieces, utf8
+from .common import arrow_schema, col, extended, fresh, mapped, pieces, small_or_hashed, stored, utf8
 from .words import WORD_BYTES, words_of
 
 WINDOW = 13
-#: Bytes of benchmark text in one automaton; a larger benchmark is scanned in blocks of this size.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text in one automaton; a larger benchmark is scanned in blocks of this size.  2 MB of items make
+#: an automaton of some 340 MB, in 20 seconds, once in each Python worker.
+BLOCK_BYTES = 2 << 20
 _ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -70,6 +73,24 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_HITS = T.StructType(
+    [
+        T.StructField("doc", T.LongType()),
+        T.StructField("row", T.LongType()),
+        T.StructField("ranges", T.ArrayType(T.ArrayType(T.IntegerType()))),
+        T.StructField("items", T.ArrayType(T.StringType())),
+    ]
+)
+_ADDED = (T.LongType(), T.LongType(), T.ArrayType(T.StringType()), _SPAN)
+#: The automaton that this Python worker has built last, and the name of its block.
+_built: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, items: list[tuple[str, str]], window: int) -> Matcher:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Matcher(items, window)
+    return _built[name]
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
@@ -86,69 +107,103 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]
         yield block
 
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+def _counted(raw: bytes, words: int, ranges: list[tuple[int, int]], names: list[str]) -> tuple:
+    spans = [{"start": a, "end": b} for a, b in original_spans(raw.decode(), ranges)] if ranges else []
+    return words, sum(b - a for a, b in ranges), names, spans
+
+
+def _hits(docs: DataFrame, block: list[tuple[str, str]], window: int) -> DataFrame:
+    """The texts (``doc``, ``row``, ``text``) in which items of one block occur, written out, so that the block can go."""
+    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block)
+    schema = arrow_schema(_HITS)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(name, shared.value, window)
+        for batch in pieces(batches, "text"):
+            found = [matcher.find(raw.translate(WORD_BYTES).split()) for raw in utf8(batch.column("text"))]
+            some = pa.array([i for i, (ranges, _) in enumerate(found) if ranges], pa.int64())
+            own = [found[i] for i in some.to_pylist()]
+            more = [pa.array([r for r, _ in own], schema.field("ranges").type), pa.array([sorted(n) for _, n in own], schema.field("items").type)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(some), batch.column("row").take(some), *more], schema=schema)
+
+    out = stored(mapped(docs, rows, _HITS), "decontaminate-hits")
+    shared.destroy()
+    return out
+
+
+def with_hits(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+    names: tuple[str, str, str, str] = ("n_words", "n_hit", "items", "spans"),
 ) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``spans`` of every row of ``docs``.
+    """``docs`` and how many words each text has, how many are hit, the sorted ids of items and the hit passages, called ``names``.
 
-    ``spans`` are the hit passages as code point offsets of the original text.  Null and empty
-    texts have no words and no hits.  Items without text or id are passed over; an empty benchmark hits nothing.
-    Repeated rows and null ids come back as they are.  A benchmark beyond ``block_bytes`` is scanned block by
-    block, one automaton after the other over the same rows, which needs no shuffle: the ranges
-    found so far travel with the rows.
+    A benchmark beyond ``block_bytes`` is scanned block by block; only hits are kept of each scan, and brought back to
+    their texts in the end.
     """
-    some = T.StructType(
-        [
-            T.StructField("doc_id", T.LongType()),
-            T.StructField("text", T.StringType()),
-            T.StructField("ranges", T.ArrayType(T.ArrayType(T.IntegerType()))),
-            T.StructField("items", T.ArrayType(T.StringType())),
-        ]
-    )
-    final = T.StructType(
-        [
-            T.StructField("doc_id", T.LongType()),
-            T.StructField("n_words", T.LongType()),
-            T.StructField("n_hit", T.LongType()),
-            T.StructField("items", T.ArrayType(T.StringType())),
-            T.StructField("spans", _SPAN),
-        ]
-    )
+    fields = [T.StructField(n, t) for n, t in zip(names, _ADDED, strict=True)]
+    blocks = _blocks(benchmark, block_bytes)
+    block, after = next(blocks, []), next(blocks, None)
+    if after is None:
+        name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block)  # of block_bytes at most
 
-    def scan(df: DataFrame, items: list[tuple[str, str]], fresh: bool, last: bool) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(items)  # of block_bytes at most
-        out_schema = arrow_schema(final if last else some)
+        def one() -> Callable[[pa.RecordBatch, int], list]:
+            matcher = _matcher(name, shared.value, window)
 
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, window)
-            for batch in pieces(batches, "text"):
-                raws = utf8(batch.column("text"))
-                n_words, ranges, names = [], [], []
-                for raw in raws:
+            def made(batch: pa.RecordBatch, at: int) -> list:
+                out = []
+                for raw in utf8(batch.column(at)):
                     words = raw.translate(WORD_BYTES).split()
-                    found, which = matcher.find(words)
-                    n_words.append(len(words))
-                    ranges.append(found)
-                    names.append(sorted(which))
-                if not fresh:
-                    ranges = [_union([*map(tuple, a), *b]) for a, b in zip(batch.column("ranges").to_pylist(), ranges, strict=True)]
-                    names = [sorted({*a, *b}) for a, b in zip(batch.column("items").to_pylist(), names, strict=True)]
-                if last:
-                    spans = [[{"start": a, "end": b} for a, b in original_spans(t.decode(), r)] if r else [] for t, r in zip(raws, ranges, strict=True)]
-                    columns = [batch.column("doc_id"), n_words, [sum(b - a for a, b in r) for r in ranges], names, spans]
-                else:
-                    columns = [batch.column("doc_id"), batch.column("text"), ranges, names]
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema
-                )
-
-        return mapped(df, rows, final if last else some)
+                    ranges, which = matcher.find(words)
+                    out.append(_counted(raw, len(words), ranges, sorted(which)))
+                return list(zip(*out, strict=True)) or [[]] * 4
+
+            return made
+
+        return extended(docs, text_col, one, fields)
+    last = F.lit((1 << 63) - 1)
+    doc, row = F.coalesce(col(id_col).cast("long"), last), F.xxhash64(col(text_col))
+    texts = docs.select(doc.alias("doc"), row.alias("row"), col(text_col).alias("text"))
+    found = None
+    for part in itertools.chain([block, after], blocks):
+        hits = _hits(texts, part, window)
+        found = hits if found is None else found.unionByName(hits)
+    own = fresh(docs.columns, "doc", "row", "hits")
+    # Texts are told apart by id and hash: rows that repeat both have the same hits, and count them once.
+    whole = found.distinct().groupBy("doc", "row").agg(F.collect_list(F.struct("ranges", "items")).alias("hits")).toDF(*own)
+    whole = stored(whole, "decontaminate-texts")
+    width = whole.agg(F.max(F.aggregate(own[2], F.lit(0), lambda n, h: n + 24 * F.size(h["ranges"]) + 64 * F.size(h["items"])))).first()[0] or 0
+    met = docs.withColumn(own[0], doc).withColumn(own[1], row).join(small_or_hashed(whole, 64 + width), own[:2], "left")
+
+    def several() -> Callable[[pa.RecordBatch, int], list]:
+        def made(batch: pa.RecordBatch, at: int) -> list:
+            out = []
+            for raw, parts in zip(utf8(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                ranges = _union([tuple(r) for p in parts or () for r in p["ranges"]])
+                out.append(_counted(raw, len(raw.translate(WORD_BYTES).split()), ranges, sorted({x for p in parts or () for x in p["items"]})))
+            return list(zip(*out, strict=True)) or [[]] * 4
+
+        return made
+
+    return extended(met.select(*map(col, [*docs.columns, own[2]])), text_col, several, fields).drop(col(own[2]))
 
-    blocks = _blocks(benchmark, block_bytes)
-    found, block, fresh = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), next(blocks, []), True
-    for after in blocks:
-        found, block, fresh = scan(found, block, fresh, False), after, False
-    return scan(found, block, fresh, True)
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """``doc_id``, ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``spans`` of every row of ``docs``.
+
+    ``spans`` are the hit passages as code point offsets of the original text.  Null and empty
+    texts have no words and no hits; texts of any length are read whole.  Items without text or id are passed over; an empty
+    benchmark hits nothing.  Repeated rows and null ids come back as they are.  Other columns are never read, whatever
+    their names.
+    """
+    own = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
+    return with_hits(own, benchmark, window=window, block_bytes=block_bytes).drop("text")
 
 
 def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -161,9 +216,9 @@ def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contaminated():
+def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
     """The rule: some hit word, and at least one word in twenty hit."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return (col(n_hit) > 0) & (20 * col(n_hit) >= col(n_words))
 
 
 def items_digest(names: list[str]) -> str:

@@ -1,15 +1,16 @@
 """Line dedup with a once-seen and a twice-seen Bloom filter.
 
-Three passes over the texts, none of which shuffles lines that occur once:
+Three passes over the texts, none of which shuffles lines that occur once, but for the places of their bits:
 
-1. every task hashes its lines into bit positions and sends each segment of the two filters its own
-   positions, four bytes per position; a segment's task sets a bit in *once* when it first comes up
-   and in *twice* when it comes up again.  Only *twice* leaves the segments: a bitmap of fixed size,
-   whatever the input, which is broadcast;
+1. lines are counted, which sets the size of the filters; then every task hashes its lines into bit positions and sends
+   each segment of the two filters its own positions, four bytes per position; a segment's task sets a bit in *once*
+   when it first comes up and in *twice* when it comes up again.  Only *twice* leaves the segments: a bitmap of
+   ``FILTER_BITS`` to ``MAX_FILTER_BITS``, which is broadcast;
 2. lines whose bits are all set in *twice* are suspected repeats.  Only they, as 16-byte digests with
    their document, are written out and grouped for exact confirmation (two documents at least) and
    the choice of the first document.  A full filter costs more suspects, never a wrong result;
-3. each document gets the digests that it has to drop, and is put together again.
+3. each document gets the digests that it has to drop, and is put together again.  Documents that drop nothing
+   stay where they are, as long as a list of the others is small enough to be broadcast.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, mapped, pieces, stored, utf8
+from . import common
+from .common import arrow_schema, col, fresh, mapped, pieces, stored, utf8
 
 #: White space that is stripped at both ends of a line: space, and tab to carriage return.
 STRIPPED = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
-SEGMENTS = 256
-#: Bits of each filter; 2**27 bits are 16 MB.  Fixed, so the broadcast does not grow with the data.
-FILTER_BITS = 1 << 27
+#: Bits of each filter for each line of the input, as a power of two between these bounds (16 and 128 MB).
+LINE_BITS, FILTER_BITS, MAX_FILTER_BITS = 8, 1 << 27, 1 << 30
+#: Bits of one segment of a filter, the work of one task.
+SEGMENT_BITS = 1 << 19
 HASHES = 2
 _FLUSH = 1 << 20
 
@@ -57,11 +60,16 @@ def _document_digests(text: bytes) -> dict[bytes, None]:
     return {_digest(k): None for x in text.lower().split(b"\n") if (k := _key(x)) is not None}
 
 
+def _shape(bits: int) -> tuple[int, int]:
+    """Segments of a filter, and bits of each."""
+    return max(1, bits // SEGMENT_BITS), min(bits, SEGMENT_BITS)
+
+
 def _places(digests: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The segment of each digest and its ``HASHES`` bit places within the segment."""
     raw = np.frombuffer(b"".join(digests), dtype="<u4").reshape(-1, 4)
-    width = bits // SEGMENTS
-    return (raw[:, 0] % SEGMENTS).astype(np.int32), (raw[:, 1 : 1 + HASHES] % np.uint32(width)).astype(np.uint32)
+    segments, width = _shape(bits)
+    return (raw[:, 0] % np.uint32(segments)).astype(np.int32), (raw[:, 1 : 1 + HASHES] % np.uint32(width)).astype(np.uint32)
 
 
 def _positions(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -71,13 +79,12 @@ def _positions(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
         segment, places = _places(digests, bits)
         out: dict[str, list] = {"segment": [], "once": [], "again": []}
         order = np.argsort(segment, kind="stable")
-        cuts = np.searchsorted(segment[order], np.arange(SEGMENTS + 1))
-        for s in range(SEGMENTS):
-            if cuts[s] < cuts[s + 1]:
-                values, counts = np.unique(places[order[cuts[s] : cuts[s + 1]]].ravel(), return_counts=True)
-                out["segment"].append(s)
-                out["once"].append(values.astype("<u4").tobytes())
-                out["again"].append(values[counts > 1].astype("<u4").tobytes())
+        found, cuts = np.unique(segment[order], return_index=True)
+        for s, lo, hi in zip(found.tolist(), cuts, [*cuts[1:], len(order)], strict=True):
+            values, counts = np.unique(places[order[lo:hi]].ravel(), return_counts=True)
+            out["segment"].append(s)
+            out["once"].append(values.astype("<u4").tobytes())
+            out["again"].append(values[counts > 1].astype("<u4").tobytes())
         return pa.RecordBatch.from_pydict(out, schema=arrow_schema(_POSITIONS))
 
     held: list[bytes] = []
@@ -99,7 +106,7 @@ _SEGMENT = T.StructType([T.StructField("segment", T.IntegerType()), T.StructFiel
 
 def _merge(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """The twice-seen bitmap of every segment that this task was dealt."""
-    width = bits // SEGMENTS
+    width = _shape(bits)[1]
     once: dict[int, np.ndarray] = {}
     twice: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -116,21 +123,30 @@ def _merge(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
         )
 
 
-def twice_filter(docs: DataFrame, text_col: str = "text", bits: int = FILTER_BITS) -> np.ndarray:
-    """The twice-seen filter of all lines of ``docs`` as ``SEGMENTS`` rows of packed bits."""
-    spread = mapped(docs.select(text_col), lambda b: _positions(b, bits), _POSITIONS)
+def filter_bits(docs: DataFrame, text_col: str = "text") -> int:
+    """Bits for the lines that ``docs`` has, counted; twice-seen places of lines seen once stay few."""
+    text = col(text_col)
+    lines = docs.agg(F.sum(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1)).first()[0] or 1
+    return min(MAX_FILTER_BITS, max(FILTER_BITS, 1 << (LINE_BITS * lines - 1).bit_length()))
+
+
+def twice_filter(docs: DataFrame, text_col: str, bits: int) -> np.ndarray:
+    """The twice-seen filter of all lines of ``docs`` as a row of packed bits for each segment."""
+    segments, width = _shape(bits)
+    spread = mapped(docs.select(col(text_col)), lambda b: _positions(b, bits), _POSITIONS)
     merged = mapped(spread.repartition("segment"), lambda b: _merge(b, bits), _SEGMENT)
-    table = np.zeros((SEGMENTS, bits // SEGMENTS // 8), dtype=np.uint8)
-    for row in merged.toLocalIterator():
+    table = np.zeros((segments, -(-width // 8)), dtype=np.uint8)
+    for row in merged.toLocalIterator():  # MAX_FILTER_BITS in all, a segment at a time
         table[row.segment] = np.frombuffer(row.twice, dtype=np.uint8)
     return table
 
 
-_SUSPECTS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("doc", T.LongType())])
+_SUSPECTS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("doc", T.LongType()), T.StructField("row", T.LongType())])
 
 
-def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = FILTER_BITS) -> DataFrame:
-    """(digest, doc) of every line that the twice-seen filter holds, once per document."""
+def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
+    """(digest, doc, row) of every line that the twice-seen filter holds, once per row; ``row`` is a hash of its text."""
+    bits = bits or filter_bits(docs, text_col)
     twice = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, text_col, bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +154,7 @@ def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
         for batch in batches:
             digests: list[bytes] = []
             counts = []
-            for text in utf8(batch.column(1)):
+            for text in utf8(batch.column("text")):
                 own = _document_digests(text)
                 digests += own
                 counts.append(len(own))
@@ -148,25 +164,42 @@ def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
             hit = np.ones(len(digests), dtype=bool)
             for j in range(HASHES):
                 hit &= (table[segment, places[:, j] >> 3] >> (7 - (places[:, j] & 7)).astype(np.uint8)) & 1 == 1
-            owner = np.repeat(np.arange(len(counts)), counts)[hit]
+            owner = pa.array(np.repeat(np.arange(len(counts)), counts)[hit])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([digests[i] for i in np.flatnonzero(hit)], pa.binary()), batch.column(0).take(pa.array(owner))],
+                [pa.array([digests[i] for i in np.flatnonzero(hit)], pa.binary()), batch.column("doc").take(owner), batch.column("row").take(owner)],
                 schema=arrow_schema(_SUSPECTS),
             )
 
-    return mapped(docs.select(F.col(id_col).cast("long").alias("doc"), text_col), scan, _SUSPECTS)
+    text = col(text_col)
+    return mapped(docs.select(col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row"), text.alias("text")), scan, _SUSPECTS)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = FILTER_BITS) -> DataFrame:
-    """``docs`` with its texts rid of repeated lines, plus ``n_lines`` and ``n_dropped``.
+def _with_drops(docs: DataFrame, drops: DataFrame, keys: list[str], dropped: str) -> DataFrame:
+    """``docs`` and the digests that each row has to drop, or null.  ``drops`` is stored.
+
+    A small list is broadcast; so are the keys of a longer one, and then only the texts that change are shuffled.
+    """
+    rows, digests = drops.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(col(dropped))), F.lit(0))).first()
+    if 48 * rows + 24 * digests <= common.BROADCAST_BYTES:
+        return docs.join(F.broadcast(drops), keys, "left")
+    if 16 * rows > common.BROADCAST_BYTES:
+        return docs.join(drops.hint("shuffle_hash"), keys, "left")
+    named = F.broadcast(drops.select(*map(col, keys)))
+    changed = docs.join(named, keys, "left_semi").join(drops.hint("shuffle_hash"), keys, "left")
+    return docs.join(named, keys, "left_anti").withColumn(dropped, F.lit(None).cast("array<binary>")).unionByName(changed)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with its texts rid of repeated lines, plus the numbers of lines and of dropped ones as ``counts``.
 
     A text is split at ``\\n``; null and empty texts are one empty line and come back as empty texts.
     Lines compare by their key (``[\\x20\\x09-\\x0D]`` stripped, A-Z lower-cased).  Keys of at least
     10 code points in at least 2 documents lose all their lines but those in the smallest id.  Other
-    columns pass; own columns named ``n_lines`` or ``n_dropped`` are replaced.
+    columns pass, whatever their names; own columns named like ``counts`` are replaced.
 
     Rows that share an id count as one document (a line repeated only there stays).  Rows without an
-    id come after all ids and count as one document.  An empty table gives an empty table.
+    id come after all ids and count as one document.  An empty table gives an empty table.  Texts of any length are
+    read whole.
     """
     found = stored(suspects(docs, id_col, text_col, bits), "line-suspects")
     last = (1 << 63) - 1
@@ -180,25 +213,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("digest", "owner"),
         "line-owners",
     )
-    drops = (
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in counts}]
+    doc, row, dropped = fresh(docs.columns, "doc", "row", "dropped")
+    # Rows are told apart by id and text, so rows without an id do not meet in one place.
+    drops = stored(
         found.join(owners, "digest")
         .where(place != F.col("owner"))
-        .groupBy(place.alias("__place"))
-        .agg(F.collect_set("digest").alias("__drops"))
-    )
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = (
-        docs.select(*kept, F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("__place"))
-        .join(drops.hint("shuffle_hash"), "__place", "left")
-        .drop("__place")
+        .groupBy(place.alias(doc), F.col("row").alias(row))
+        .agg(F.collect_set("digest").alias(dropped)),
+        "line-drops",
     )
+    keyed = docs.select(*map(col, kept), F.coalesce(col(id_col).cast("long"), F.lit(last)).alias(doc), F.xxhash64(col(text_col)).alias(row))
+    # Spark does not pass columns with odd names (``a.b``) to Python: they go by number, and come back under their names.
+    joined = _with_drops(keyed, drops, [doc, row], dropped).select(*map(col, [*kept, dropped])).toDF(*map(str, range(len(kept) + 1)))
     fields = [docs.schema[c] for c in kept]
-    schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in counts]])
     at = kept.index(text_col)
     out_schema = arrow_schema(schema)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col, 16 << 20):
+        for batch in pieces(batches, str(at), 16 << 20):
             texts, n_lines, n_dropped = [], [], []
             for raw, drops_ in zip(utf8(batch.column(at)), batch.column(len(kept)).to_pylist(), strict=True):
                 total, gone = raw.count(b"\n") + 1, 0

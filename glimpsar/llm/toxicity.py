@@ -1,15 +1,16 @@
 """Toxicity scores from a weighted finite-state pattern grammar.
 
-Four small transducers read the classes of a clause's tokens: *target* (is somebody addressed),
-*threat* (does a threat meet a target), *negation* (a negator lowers what follows it closely) and
-*reported speech* (a verb of saying or an opening quotation mark lowers what is quoted).  They are composed into
-one machine by the product construction; each arc scales the lexical weight of the token it reads,
-and scales multiply under composition.  A clause's score is the sum of its scaled weights times the final scale of the state
-reached, so an isolated insult, a negated one and one hurled at somebody score differently.
-
-Lexical weights of insults are log-odds learned from labelled documents, of words and of word beginnings (so
-that inflected forms of one stem share evidence).  A logistic layer turns a document's clause scores into a
-probability.
+Five small transducers read the classes of a clause's tokens: *insult* (alone, or aimed at somebody who has been named,
+with or without "is"), *threat* (does a threat meet a target), *target* (is somebody addressed at all), *negation* (a negator
+lowers what follows it closely) and *reported speech* (a verb of saying or an opening quotation mark lowers what is
+quoted).  They are composed into one machine by the product construction; each arc scales the weight of the token it reads
+and may mark it with a pattern, scales multiply under composition, and a weakening mark overrules the others.  A clause's
+score is the sum of its scaled weights times the final scale of the state reached, so an isolated insult, a negated one
+and one hurled at somebody score differently.
+
+Weights of insults are log-odds learned from labelled documents, of words and of word beginnings (so
+that inflected forms of one stem share evidence); those of threats are learned by stem.  A logistic layer turns a document's
+clause scores, and what it has of each pattern, into a probability: how much a pattern counts is learned as well.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import heapq
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +29,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, mapped, pieces, stored
+from .common import arrow_schema, col, extended, mapped, pieces, stored
 from .words import shingles
 
 #: At most this many labelled documents are learned from, chosen by a hash of their ids.
 TRAIN_ROWS = 24_000
 PREFIXES = range(4, 8)
-_WORD = re.compile(r"[^\W\d_]{3,}")
+_WORD = re.compile(r"[^\W\d_]{2,}")
 _TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»„]|[.!?;:\n]+")
-_CACHE = 200_000
+_CACHE = 100_000
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = range(7)
+INSULT, THREAT, TARGET, COPULA, NEGATION, REPORT, QUOTE, OTHER = range(8)
+#: What a token can be part of.
+PATTERNS = ("plain insult", "aimed insult", "bare threat", "aimed threat", "weakened")
+PLAIN, AIMED, BARE, AIMED_THREAT, WEAKENED = range(5)
 
-#: Seed lists of the closed classes (English, German, French, Spanish).
-THREATS = "kill hurt destroy beat burn shoot stab strangle crush töten umbringen schlagen tuer frapper matar golpear"
+#: Seed lists of the closed classes (English, German, French, Spanish).
+THREATS = "kill hurt destroy beat burn shoot stab strangle crush murder töten umbringen schlagen tuer frapper matar golpear"
+ENDINGS = "s es ed er ers ing en e et st t é ée és a an ar as o"
 TARGETS = "you your yours u he she they him her them du dich dir euch ihr tu toi vous te usted ustedes tus"
+COPULAS = "are is was were be re bist ist sind seid war es est êtes eres son"
 NEGATORS = "not no never nobody cannot isn aren don doesn nicht kein keine nie jamais pas nunca jamás"
 REPORTS = "said says say told called calls quoted wrote claimed sagte nannte dit disait dijo llamó"
-#: What insults weigh where there is nothing to learn from.
+#: What insults and threats weigh where there is nothing to learn from.
 SEED_INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile dumb"
 SEED_WEIGHT = 3.0
+#: Scale of an insult that meets nobody, and that of one that is said of somebody.
+ALONE, SAID_OF = 0.6, 1.25
+
+
+def threat_forms() -> dict[str, str]:
+    """Threat words and their inflected forms, with the stem of each: kill, kills, killing; stabbing; strangled."""
+    out = {}
+    for stem in THREATS.split():
+        for base in (stem, stem + stem[-1], stem.removesuffix("e"), stem.removesuffix("en"), stem.removesuffix("er"), stem.removesuffix("ar")):
+            if len(base) > 2:
+                for ending in ENDINGS.split():
+                    out.setdefault(base + ending, stem)
+    return out | {stem: stem for stem in THREATS.split()}
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Arcs ``(state, class) -> (state, scale)``; a class without an arc leads to ``rest[state]``.
+    """Arcs ``(state, class) -> (state, scale)`` or ``(state, scale, pattern)``; a class without an arc leads to ``rest[state]``.
 
     Scales below 1 weaken the weight of the token that is read, and ``final`` that of the whole clause.
     """
@@ -60,55 +80,77 @@ class Transducer:
     rest: dict
     final: dict = field(default_factory=dict)
 
-    def step(self, state, kind: int):
-        return self.arcs.get((state, kind)) or (self.rest.get(state, state), 1.0)
+    def step(self, state, kind: int) -> tuple:
+        found = self.arcs.get((state, kind))
+        if found is None:
+            return self.rest.get(state, state), 1.0, None
+        return found if len(found) == 3 else (*found, None)
+
 
+def mark(patterns) -> int | None:
+    """The pattern of a token from what each part makes of it."""
+    found = [p for p in patterns if p is not None]
+    return None if not found else WEAKENED if WEAKENED in found else found[0]
 
-def compose(*parts: Transducer) -> tuple[list[list[tuple[int, float]]], list[float]]:
+
+def compose(*parts: Transducer) -> tuple[list[list[tuple[int, float, int | None]]], list[float]]:
     """The reachable product machine: a table by state and class, and final scales; state 0 starts."""
     start = (0,) * len(parts)
     number, todo, table = {start: 0}, [start], []
     while todo:
         state = todo.pop(0)
         row = []
-        for kind in range(7):
+        for kind in range(8):
             steps = [p.step(s, kind) for p, s in zip(parts, state, strict=True)]
-            after = tuple(s for s, _ in steps)
+            after = tuple(s for s, _, _ in steps)
             if after not in number:
                 number[after] = len(number)
                 todo.append(after)
-            row.append((number[after], math.prod(w for _, w in steps)))
+            row.append((number[after], math.prod(w for _, w, _ in steps), mark(p for _, _, p in steps)))
         table.append(row)
     final = [math.prod(p.final.get(s, 1.0) for p, s in zip(parts, state, strict=True)) for state in number]
     return table, final
 
 
-def grammar() -> tuple[list[list[tuple[int, float]]], list[float]]:
-    """Threat, target, negation and reported speech in one machine; an insult is a token with a learned weight, not a pattern."""
-    target = Transducer({(0, TARGET): (1, 1.0)}, {}, {1: 1.25})
+def parts() -> tuple[Transducer, ...]:
+    """Insult, threat, target, negation and reported speech."""
+    # States: nobody named, somebody named, somebody named and something said of them ("you are ...").
+    insult = Transducer(
+        {(s, TARGET): (1, 1.0) for s in range(3)}
+        | {(1, COPULA): (2, 1.0), (0, INSULT): (0, ALONE, PLAIN), (1, INSULT): (1, 1.0, AIMED), (2, INSULT): (2, SAID_OF, AIMED)},
+        {},
+    )
     # A threat counts in full once a target has been named, and little before.
-    threat = Transducer({(0, TARGET): (1, 1.0), (0, THREAT): (0, 0.2), (1, THREAT): (1, 1.0)}, {})
+    threat = Transducer({(0, TARGET): (1, 1.0), (0, THREAT): (0, 0.2, BARE), (1, THREAT): (1, 1.0, AIMED_THREAT)}, {})
+    # A clause that names somebody at any place counts more.
+    target = Transducer({(0, TARGET): (1, 1.0)}, {}, {1: 1.25})
     # A negator weakens an insult or threat among the next three tokens.
     negation = Transducer(
         {(s, NEGATION): (1, 1.0) for s in range(4)}
-        | {(s, k): (0, 0.4) for s in (1, 2, 3) for k in (INSULT, THREAT)},
+        | {(s, k): (0, 0.4, WEAKENED) for s in (1, 2, 3) for k in (INSULT, THREAT)},
         {1: 2, 2: 3, 3: 0},
     )
     report = Transducer(
         {(0, REPORT): (1, 1.0), (0, QUOTE): (1, 1.0), (1, QUOTE): (0, 1.0)}
-        | {(1, k): (1, 0.6) for k in (INSULT, THREAT)},
+        | {(1, k): (1, 0.6, WEAKENED) for k in (INSULT, THREAT)},
         {},
     )
-    return compose(target, threat, negation, report)
+    return insult, threat, target, negation, report
+
+
+def grammar() -> tuple[list[list[tuple[int, float, int | None]]], list[float]]:
+    """All of them in one machine."""
+    return compose(*parts())
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of words and of word beginnings, and the logistic layer over a document's features."""
+    """Weights of words, of word beginnings and of threats by stem, and the logistic layer over a document's features."""
 
     words: dict
     prefixes: dict
-    coef: tuple = (-3.0, 1.5, 0.8)
+    threats: dict = field(default_factory=dict)
+    coef: tuple = (-3.0, 1.5, 0.8, *[0.0] * len(PATTERNS))
 
     def weight(self, word: str) -> float:
         found = self.words.get(word, 0.0)
@@ -118,58 +160,82 @@ class Model:
         return found
 
 
+class Clause(NamedTuple):
+    """A matched clause: offsets in code points, its score, and the weights of each pattern in it."""
+
+    start: int
+    end: int
+    score: float
+    weights: tuple[float, ...]
+
+    @property
+    def pattern(self) -> str:
+        return PATTERNS[max(range(len(PATTERNS)), key=lambda p: self.weights[p])]
+
+
 class Scorer:
-    """Scores texts with one model; remembers which words have no weight (bounded)."""
+    """Scores texts with one model; remembers what words are (bounded)."""
 
     def __init__(self, model: Model):
         self.model, (self.table, self.final) = model, grammar()
-        self.kind = {w: k for k, text in ((REPORT, REPORTS), (NEGATION, NEGATORS), (TARGET, TARGETS), (THREAT, THREATS)) for w in text.split()}
-        self.plain: set[str] = set()
-        self.threats = frozenset(THREATS.split())
-
-    def triggered(self, text: str) -> bool:
-        new = set(_WORD.findall(text.lower())) - self.plain
-        if not new:
-            return False
-        hits = {w for w in new if w in self.threats or self.model.weight(w) > 0}
-        if len(self.plain) > _CACHE:
-            self.plain.clear()
-        self.plain |= new - hits
-        return bool(hits)
-
-    def clauses(self, text: str) -> list[tuple[int, int, float]]:
-        """Matched clauses as (start, end, score), offsets in code points."""
-        if not text or not self.triggered(text):
+        self.closed = {w: k for k, text in ((REPORT, REPORTS), (NEGATION, NEGATORS), (COPULA, COPULAS), (TARGET, TARGETS)) for w in text.split()}
+        self.threats = {form: model.threats.get(stem, SEED_WEIGHT) for form, stem in threat_forms().items()}
+        self.known: dict[str, tuple[int, float]] = {}
+
+    def read(self, token: str) -> tuple[int, float]:
+        """Class and weight of a lower-case word."""
+        found = self.known.get(token)
+        if found is None:
+            if token in self.closed:
+                found = self.closed[token], 0.0
+            elif (weight := self.model.weight(token)) > 0:
+                found = INSULT, weight
+            elif token in self.threats:
+                found = THREAT, self.threats[token]
+            else:
+                found = OTHER, 0.0
+            if len(self.known) >= _CACHE:
+                self.known.clear()
+            self.known[token] = found
+        return found
+
+    def clauses(self, text: str) -> list[Clause]:
+        """Matched clauses of a text."""
+        if not text or not any(self.read(w)[1] > 0 for w in set(_WORD.findall(text.lower()))):
             return []
-        out, state, total, first, last = [], 0, 0.0, -1, 0
+        out: list[Clause] = []
+        state, total, first, last, weights = 0, 0.0, -1, 0, [0.0] * len(PATTERNS)
+
+        def close() -> None:
+            nonlocal state, total, first, weights
+            if total > 0:
+                out.append(Clause(first, last, total * self.final[state], tuple(weights)))
+                weights = [0.0] * len(PATTERNS)
+            state, total, first = 0, 0.0, -1
+
         for m in _TOKEN.finditer(text):
             token = m.group().lower()
             if token[0] in ".!?;:\n":
-                if total > 0:
-                    out.append((first, last, total * self.final[state]))
-                state, total, first = 0, 0.0, -1
+                close()
                 continue
-            kind, weight = self.kind.get(token, OTHER), 0.0
-            if token in "\"“”«»„":
-                kind = QUOTE
-            elif kind == THREAT:
-                weight = SEED_WEIGHT
-            elif len(token) > 2 and (w := self.model.weight(token)) > 0:
-                kind, weight = INSULT, w
-            state, scale = self.table[state][kind]
-            total += weight * scale
+            kind, weight = (QUOTE, 0.0) if token in "\"“”«»„" else self.read(token)
+            state, scale, pattern = self.table[state][kind]
+            if weight > 0:
+                total += weight * scale
+                weights[pattern] += weight
             first, last = m.start() if first < 0 else first, m.end()
-        if total > 0:
-            out.append((first, last, total * self.final[state]))
+        close()
         return out
 
-    def features(self, clauses: list[tuple[int, int, float]]) -> tuple[float, float]:
-        return (math.log1p(sum(c[2] for c in clauses)), max((c[2] for c in clauses), default=0.0) / 4)
+    def features(self, clauses: list[Clause]) -> tuple[float, ...]:
+        """Scores in all and of the worst clause, and the weights met in each pattern."""
+        each = [math.log1p(sum(c.weights[p] for c in clauses)) for p in range(len(PATTERNS))]
+        return (math.log1p(sum(c.score for c in clauses)), max((c.score for c in clauses), default=0.0) / 4, *each)
 
-    def score(self, clauses: list[tuple[int, int, float]]) -> float:
-        a, b = self.features(clauses)
+    def score(self, clauses: list[Clause]) -> float:
         c = self.model.coef
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, c[0] + c[1] * a + c[2] * b))))
+        z = c[0] + sum(a * b for a, b in zip(c[1:], self.features(clauses), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def held_out(id_col: str):
@@ -276,7 +342,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     )
     # The limit bounds this side, so the texts are not shuffled for it.
     sample = stored(
-        docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(known), "__id"),
+        docs.select(col(id_col).cast("long").alias("__id"), col(text_col).alias("text")).join(F.broadcast(known), "__id"),
         "toxicity-sample",
     )
     context = T.StructType([T.StructField("__id", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("context", T.LongType())])
@@ -297,7 +363,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     if not sizes.get(0) or not sizes.get(1):
         return seeds
     pos = {r.term: r.n for r in mapped(base.where("y = 1").select("text"), _count_terms, _COUNTS).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3").collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(pos))
+    forms = threat_forms()
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(pos) | frozenset(forms))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         neg: Counter = Counter()
@@ -318,49 +385,63 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     toxic = [[t for t in r.terms if t in best] for r in found.where("term is null").select("terms").toLocalIterator()]
     weights = _choose(toxic, {t: pos[t] for t in best}, neg, sizes[0])
     model = Model(
-        {t: w for t, w in weights.items() if t[-1] != "*"}, {t[:-1]: w for t, w in weights.items() if t[-1] == "*"}
+        {t: w for t, w in weights.items() if t[-1] != "*"},
+        {t[:-1]: w for t, w in weights.items() if t[-1] == "*"},
+        _threat_weights(forms, pos, neg, sizes),
     )
-    feature = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+    names = [f"f{i}" for i in range(2 + len(PATTERNS))]
+    feature = T.StructType([T.StructField("y", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            made = [scorer.features(scorer.clauses(t or "")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), pa.array([a for a, _ in made], pa.float64()), pa.array([b for _, b in made], pa.float64())], schema=arrow_schema(feature)
-            )
+            made = np.array([scorer.features(scorer.clauses(t or "")) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *map(pa.array, made.T)] if batch.num_rows else [batch.column("y"), *[pa.array([], pa.float64())] * len(names)], schema=arrow_schema(feature))
 
-    fitted = mapped(base, features, feature).toPandas().sort_values(["a", "b", "y"])
-    return Model(model.words, model.prefixes, _logistic(fitted[["a", "b"]].to_numpy(), fitted["y"].to_numpy()))
+    fitted = mapped(base, features, feature).toPandas().sort_values([*names, "y"])  # a row of numbers for each of at most ``rows``
+    return Model(model.words, model.prefixes, model.threats, _logistic(fitted[names].to_numpy(), fitted["y"].to_numpy()))
 
 
-_CLAUSE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("weight", T.DoubleType())]))
+def _threat_weights(forms: dict[str, str], pos: dict[str, int], neg: dict[str, int], sizes: dict[int, int]) -> dict[str, float]:
+    """Log-odds of each threat, all its forms together, between what is seen and what is assumed of unseen ones."""
+    out = {}
+    for stem in set(forms.values()):
+        mine = [f for f, s in forms.items() if s == stem]
+        p, n = (sum(c.get(f, 0) for f in mine) for c in (pos, neg))
+        value = _log_odds(p, n, sizes[1], sizes[0])[0]
+        out[stem] = max(0.0, min(6.0, ((p + n) * value + 4 * SEED_WEIGHT) / (p + n + 4)))
+    return out
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``score`` (0 to 1) and the matched ``clauses`` of every row.
+_CLAUSE = T.ArrayType(
+    T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("weight", T.DoubleType()), T.StructField("pattern", T.StringType())])
+)
 
-    Null and empty texts match nothing and get the score of a text without matches.  Rows are
-    independent of each other: repeated rows and null ids come back as they are.
-    """
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("clauses", _CLAUSE)])
-    out_schema = arrow_schema(schema)
+
+def with_scores(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("score", "clauses")) -> DataFrame:
+    """``docs``, each text's score (0 to 1) and its matched clauses, called ``names``; other columns pass, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> Callable[[pa.RecordBatch, int], list]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            matched = [scorer.clauses(t) if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([scorer.score(m) for m in matched], pa.float64()),
-                    pa.array([[{"start": a, "end": b, "weight": w} for a, b, w in m] for m in matched], out_schema.field(2).type),
-                ],
-                schema=out_schema,
-            )
 
-    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rows, schema)
+        def rows(batch: pa.RecordBatch, at: int) -> list:
+            matched = [scorer.clauses(t) if t else [] for t in batch.column(at).to_pylist()]
+            return [[scorer.score(m) for m in matched], [[{"start": c.start, "end": c.end, "weight": c.score, "pattern": c.pattern} for c in m] for m in matched]]
+
+        return rows
+
+    return extended(docs, text_col, made, [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], _CLAUSE)])
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``score`` (0 to 1) and the matched ``clauses`` of every row.
+
+    Null and empty texts match nothing and get the score of a text without matches; texts of any length are read whole.  Rows are
+    independent of each other: repeated rows and null ids come back as they are.  Other columns are never read, whatever
+    their names.
+    """
+    return with_scores(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")), model).drop("text")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

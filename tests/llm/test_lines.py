@@ -29,7 +29,7 @@ def brute(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bits", [line_dedup.FILTER_BITS, line_dedup.SEGMENTS * 8])
+@pytest.mark.parametrize("bits", [None, 2048])
 def test_against_brute_force(spark, bits):
     """A filter that is full all over suspects every line, and the result is the same."""
     docs = documents(1)
@@ -48,6 +48,29 @@ def test_repeated_rows_null_ids_and_nothing(spark):
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("bound", [32 << 20, 2000, 100])
+def test_every_way_back_to_the_texts(spark, monkeypatch, bound):
+    """Digests broadcast, only keys broadcast, or nothing: the same texts, with clashing and odd column names kept."""
+    monkeypatch.setattr(line_dedup.common, "BROADCAST_BYTES", bound)
+    docs = [(*d[:2], "mine", "yours", "x", "y") for d in documents(3, 90)] + [(None, "w1 w2 w3 w4 w5 w6\n" + "x" * n, "mine", "yours", "x", "y") for n in (3, 3, 4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, DOC string, `row.x` string, Dropped string, `a``b` string")
+    out = line_dedup.dedup_lines(df, counts=("lines", "gone"))
+    assert out.columns == [*df.columns, "lines", "gone"]
+    got = out.collect()
+    assert all((r["DOC"], r["row.x"], r["Dropped"], r["a`b"]) == ("mine", "yours", "x", "y") for r in got)
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    numbered = [(10**9 if d[0] is None else d[0], *d[1:]) for d in docs]  # as one document after all others
+    assert order((r.doc_id, r.text, r.lines, r.gone) for r in got) == order((None if i == 10**9 else i, *rest) for i, *rest in brute(numbered))
+
+
+def test_filter_follows_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", 64)
+    df = spark.createDataFrame([(1, "a\nb\nc"), (2, None), (3, "")], "doc_id long, text string")
+    assert line_dedup.filter_bits(df) == 64
+    assert line_dedup.filter_bits(spark.createDataFrame([(1, "x\n" * 99)], "doc_id long, text string")) == 1024
+    assert line_dedup.filter_bits(df.where("false")) == 64
+
+
 def test_query_digest(spark, small):
     from glimpsar.llm.catalog import queries
 

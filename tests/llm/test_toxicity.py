@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import itertools
+import math
+import random
+import re
 import zlib
 
 import pytest
@@ -23,23 +27,82 @@ def test_clauses_not_words(scorer):
     assert total(scorer, 'the sign "idiot" hung there') < plain
     assert total(scorer, "someone said so. what an idiot thing") == plain  # a clause ends what was reported
     assert total(scorer, "you will kill it") > total(scorer, "they kill") * 0 + total(scorer, "kill time")
-    assert total(scorer, "lousiest") == 2.0
+    assert total(scorer, "lousiest") == 2.0 * T.ALONE
+    assert total(scorer, "you are an idiot") > total(scorer, "you idiot") > total(scorer, "idiot, you") > plain
+    assert total(scorer, "you will be killed") == total(scorer, "you were stabbed") == total(scorer, "you strangling") > 5 * total(scorer, "stabbing") > 0
+    assert total(scorer, "you have skills") == 0
     assert scorer.clauses("") == [] == scorer.clauses("nothing here")
 
 
 def test_offsets_lead_to_the_clause(scorer):
     text = "😀 Fine day. You idiot! Bye"
-    (a, b, _), = scorer.clauses(text)
-    assert text[a:b] == "You idiot"
+    found, = scorer.clauses(text)
+    assert text[found.start : found.end] == "You idiot"
+    assert found.pattern == "aimed insult"
+    assert [c.pattern for c in scorer.clauses("idiot. not an idiot. kill. you kill! she said lousiest")] == ["plain insult", "weakened", "bare threat", "aimed threat", "weakened"]
 
 
 def test_composition_multiplies_scales():
     one = T.Transducer({(0, T.INSULT): (0, 0.5)}, {})
     table, final = T.compose(one, one)
-    assert table[0][T.INSULT] == (0, 0.25)
+    assert table[0][T.INSULT] == (0, 0.25, None)
     assert final == [1.0]
 
 
+def test_machine_is_its_parts_run_side_by_side():
+    """Every sequence of up to five classes, and long random ones, in the composed machine and in each part by itself."""
+    table, final = T.grammar()
+    rnd = random.Random(0)
+    runs = [*itertools.product(range(8), repeat=5), *[[rnd.randrange(8) for _ in range(60)] for _ in range(200)]]
+    parts = T.parts()
+    for run in runs:
+        state, states = 0, [0] * len(parts)
+        for kind in run:
+            state, scale, pattern = table[state][kind]
+            steps = [p.step(s, kind) for p, s in zip(parts, states, strict=True)]
+            states = [s for s, _, _ in steps]
+            assert scale == math.prod(w for _, w, _ in steps)
+            marks = {m for _, _, m in steps} - {None}
+            assert pattern == (T.WEAKENED if T.WEAKENED in marks else next(iter(marks), None))
+            assert (pattern is not None) == (kind in (T.INSULT, T.THREAT))
+        assert final[state] == math.prod(p.final.get(s, 1.0) for p, s in zip(parts, states, strict=True))
+
+
+def brute_clauses(text, weight):
+    """Clause scores by the rules in words, one clause after the other, without any machine."""
+    closed = {w: k for k, ws in (("report", T.REPORTS), ("not", T.NEGATORS), ("is", T.COPULAS), ("you", T.TARGETS)) for w in ws.split()}
+    out = []
+    for clause in re.split(r"[.!?;:\n]+", text.lower()):
+        tokens = re.findall(r"[^\W\d_]+|[\"“”«»„]", clause)
+        kinds = [closed.get(t) or ("quote" if t in "\"“”«»„" else "insult" if weight(t) else "threat" if t in T.threat_forms() else "") for t in tokens]
+        total = 0.0
+        for i, (t, k) in enumerate(zip(tokens, kinds, strict=True)):
+            if k not in ("insult", "threat"):
+                continue
+            named = [j for j in range(i) if kinds[j] == "you"]
+            scale = (1.0 if named else 0.2) if k == "threat" else 0.6 if not named else 1.25 if "is" in kinds[named[-1] : i] else 1.0
+            # The last negator within three tokens, unless a matched word has used it up.
+            near = [j for j in range(max(0, i - 3), i) if kinds[j] == "not"]
+            if near and not any(kinds[j] in ("insult", "threat") for j in range(near[-1] + 1, i)):
+                scale *= 0.4
+            quoted = False
+            for j in range(i):
+                quoted = (quoted or kinds[j] == "report") if kinds[j] != "quote" else not quoted
+            total += (weight(t) or T.SEED_WEIGHT) * scale * (0.6 if quoted else 1.0)
+        if total:
+            out.append(total * (1.25 if "you" in kinds else 1.0))
+    return out
+
+
+def test_scores_against_the_rules_in_words(scorer):
+    rnd = random.Random(1)
+    words = "you are an idiot not never kill killing he said \" \" lousy lousiest thing the . ! she is was nicht du bist house kills".split()
+    long = " ".join(rnd.choice(words) for _ in range(20_000))
+    for text in [long, *[" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 25))) for _ in range(500)]]:
+        want = brute_clauses(text, scorer.model.weight)
+        assert [c.score for c in scorer.clauses(text)] == pytest.approx(want)
+
+
 def _labelled(spark, n=600):
     bad = ["idiot", "scum", "moron", "grobrix", "grobral", "grobren"]
     docs, labels = [], []
@@ -68,6 +131,11 @@ def test_learns_and_generalises(spark):
     assert len(scored) == 4
     assert scored[0][1] > scored[1][1] == scored[2][1] == scored[3][1]
     assert all(0 <= s <= 1 for _, s in scored)
+    wide = odd.withColumn("a.b", T.F.lit("mine")).withColumn("Score", T.F.lit("own"))
+    kept = T.with_scores(wide, model, names=("toxic", "why"))
+    assert kept.columns == [*wide.columns, "toxic", "why"]
+    assert sorted((r.doc_id or 0, r.toxic) for r in kept.collect()) == scored
+    assert all((r["a.b"], r["Score"]) == ("mine", "own") for r in kept.collect())
 
 
 def test_nothing_to_learn_from(spark):

@@ -11,43 +11,87 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimpsar.llm import bpe, decontaminate, line_dedup, near_duplicates, toxicity
-from glimpsar.llm.common import small_or_hashed, stored
+from glimpsar.llm.common import col, fresh, small_or_hashed, stored
 
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but those whose id is in the column ``__gone`` of ``ids``; texts are not sorted for it.
-
-    Documents without an id stay.
-    """
-    gone = small_or_hashed(stored(ids, "pipeline-gone"), 16)
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+_LONG = 1 << 63
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5."""
+    """Rows whose text has a toxicity score below 0.5.
+
+    Every row is judged by its own text, also without an id or with one that others have.  Null and empty texts
+    stay.  Other columns pass, whatever their names.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model)
-    return _without(docs, scored.where("score >= 0.5").select(F.col("doc_id").alias("__gone")))
+    score, clauses = fresh(docs.columns, "score", "clauses")
+    scored = toxicity.with_scores(docs, model, names=(score, clauses))
+    return scored.where(col(score) < 0.5).select(*map(col, docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document has; ``n_chars`` follows the text."""
-    kept = line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Texts without the lines that an earlier document has; ``n_chars`` follows the text.
+
+    Rows that share an id are one document, and those without an id the last one.  Null texts become empty ones.  Other
+    columns pass, whatever their names.
+    """
+    kept = line_dedup.dedup_lines(docs, counts=tuple(fresh(docs.columns, "n_lines", "n_dropped"))).select(*map(col, docs.columns))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept
 
 
+def _own_ids(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """``docs`` and a number ``name`` for each: its id, if no other row has that.  Also whether that holds for all.
+
+    Rows without an id or with a repeated one get numbers beyond all ids (below, if there is no room), made of their
+    id and text, so that rows which repeat both share one.
+    """
+    counted = docs.select(col("doc_id").cast("long").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    low, high, odd = counted.agg(F.min("id"), F.max("id"), F.count_if((F.col("n") > 1) | F.col("id").isNull())).first()
+    if not odd:
+        return docs.withColumn(name, col("doc_id").cast("long")), True
+    low, high = (0, 0) if high is None else (low, high)
+    above, below = _LONG - 1 - high, low + _LONG
+    room, start = (above, high + 1) if above >= min(below, 1 << 62) else (below, -_LONG)
+    made = F.lit(start) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(min(room, 1 << 62)))
+    [repeated] = fresh([*docs.columns, name], "repeated")
+    several = small_or_hashed(stored(counted.where("n > 1 and id is not null").select(F.col("id").alias(repeated)), "pipeline-repeated"), 16)
+    joined = docs.join(several, col("doc_id").cast("long") == col(repeated), "left")
+    return joined.withColumn(name, F.when(col("doc_id").isNull() | col(repeated).isNotNull(), made).otherwise(col("doc_id").cast("long"))).drop(col(repeated)), False
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    found = near_duplicates.near_duplicates(docs)
-    return _without(docs, found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")))
+    """The row with the smallest id of each near-duplicate group.
+
+    Rows without an id, or with one that others have, come after all others, and of rows that repeat id and text one
+    stays.  Null and empty texts are copies of each other.  Other columns pass, whatever their names.
+    """
+    number, gone = fresh(docs.columns, "number", "gone")
+    own, alone = _own_ids(docs, number)
+    found = near_duplicates.near_duplicates(own, id_col=number)
+    others = small_or_hashed(stored(found.where("doc_id <> class_id").select(F.col("doc_id").alias(gone)), "pipeline-gone"), 16)
+    kept = own.join(others, col(number) == col(gone), "left_anti")
+    return (kept if alone else _once(kept, number)).select(*map(col, docs.columns))
+
+
+def _once(docs: DataFrame, number: str) -> DataFrame:
+    """One row of each number.  Rows that share one are few, so all others stay where they are."""
+    [repeated] = fresh(docs.columns, "repeated")
+    several = stored(docs.groupBy(col(number)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(col(number).alias(repeated)), "pipeline-several")
+    small = small_or_hashed(several, 16)
+    same = col(number) == col(repeated)
+    return docs.join(small, same, "left_anti").unionByName(docs.join(small, same, "left_semi").dropDuplicates([number]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which no twentieth part is benchmark passages."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where(decontaminate.contaminated()).select(F.col("doc_id").alias("__gone")))
+    """Rows of whose text no twentieth part is benchmark passages.
+
+    Every row is judged by its own text, also without an id or with one that others have.  Null and empty texts
+    stay.  Other columns pass, whatever their names.
+    """
+    names = fresh(docs.columns, "n_words", "n_hit", "items", "spans")
+    found = decontaminate.with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), names=tuple(names))
+    return found.where(~decontaminate.contaminated(*names[:2])).select(*map(col, docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

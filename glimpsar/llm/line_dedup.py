@@ -35,6 +35,8 @@ LINE_BITS, FILTER_BITS, MAX_FILTER_BITS = 8, 1 << 27, 1 << 30
 #: Bits of one segment of a filter, the work of one task.
 SEGMENT_BITS = 1 << 19
 HASHES = 2
+#: Digests to drop are broadcast up to this size.
+DROPS_BYTES = 8 << 20
 _FLUSH = 1 << 20
 
 
@@ -180,7 +182,7 @@ def _with_drops(docs: DataFrame, drops: DataFrame, keys: list[str], dropped: str
     A small list is broadcast; so are the keys of a longer one, and then only the texts that change are shuffled.
     """
     rows, digests = drops.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(col(dropped))), F.lit(0))).first()
-    if 48 * rows + 24 * digests <= common.BROADCAST_BYTES:
+    if 48 * rows + 24 * digests <= DROPS_BYTES:
         return docs.join(F.broadcast(drops), keys, "left")
     if 16 * rows > common.BROADCAST_BYTES:
         return docs.join(drops.hint("shuffle_hash"), keys, "left")

@@ -181,6 +181,7 @@ class Scorer:
         self.closed = {w: k for k, text in ((REPORT, REPORTS), (NEGATION, NEGATORS), (COPULA, COPULAS), (TARGET, TARGETS)) for w in text.split()}
         self.threats = {form: model.threats.get(stem, SEED_WEIGHT) for form, stem in threat_forms().items()}
         self.known: dict[str, tuple[int, float]] = {}
+        self.plain: set[str] = set()  # words without weight that texts have shown
 
     def read(self, token: str) -> tuple[int, float]:
         """Class and weight of a lower-case word."""
@@ -199,9 +200,18 @@ class Scorer:
             self.known[token] = found
         return found
 
+    def triggered(self, text: str) -> bool:
+        """Whether any word of a text has weight; most have none, which is told from the words that are new."""
+        new = set(_WORD.findall(text.lower())) - self.plain
+        hits = {w for w in new if w not in self.closed and (self.model.weight(w) > 0 or self.threats.get(w, 0.0) > 0)}
+        if len(self.plain) > _CACHE:
+            self.plain.clear()
+        self.plain |= new - hits
+        return bool(hits)
+
     def clauses(self, text: str) -> list[Clause]:
         """Matched clauses of a text."""
-        if not text or not any(self.read(w)[1] > 0 for w in set(_WORD.findall(text.lower()))):
+        if not text or not self.triggered(text):
             return []
         out: list[Clause] = []
         state, total, first, last, weights = 0, 0.0, -1, 0, [0.0] * len(PATTERNS)

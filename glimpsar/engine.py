@@ -71,11 +71,8 @@ class Answer:
         """Evidence in one photo that there is more than one such object."""
         twice = self.candidates.where("detections >= 2")
         name = F.element_at(F.split("path", "/"), -1)
-        row = twice.agg(F.max("detections").alias("n"), F.count(F.lit(1)).alias("photos"), F.max_by(name, F.struct("score", "photo_id")).alias("first")).first()
-        if not row.photos:
-            return None
-        more = f" and {row.photos - 1} other photo(s)" if row.photos > 1 else ""
-        return f"{row.n} of these appear together in {row.first}{more}. There is more than one; matches may be different copies."
+        a = twice.agg(F.max("detections").alias("most"), F.count(F.lit(1)).alias("photos"), F.max_by(name, F.struct("score", "photo_id")).alias("first"))
+        return a.select(F.when(F.col("photos") > 0, T.several_text(F.col("most"), F.col("first"), F.col("photos")))).first()[0]
 
 
 class Library:
@@ -167,20 +164,15 @@ class Library:
         return Answer(name, placed.orderBy("place"), T.last_seen(matches, tie="stage_one"), candidates)
 
     def _recall(self, exemplars: list[tuple[str, Box]], top_k: int) -> DataFrame:
-        """Stage one with all exemplars.  Query vectors are split where there are more than ``R.MAX_QUERIES``; each has
-        its own best regions, so the split changes nothing."""
+        """Stage one with all exemplars, over the regions of photos that are still there."""
         spark, vectors = self.store.spark, []
         for photo, box in exemplars:
             x1, y1, x2, y2 = box
             grown = [(max(0.0, x1 - (x2 - x1) * s), max(0.0, y1 - (y2 - y1) * s), min(1.0, x2 + (x2 - x1) * s), min(1.0, y2 + (y2 - y1) * s)) for s in G.DILATIONS]
             vectors += self.features.vectors(photo, grown)
         regions = self.store.table("regions").select(F.xxhash64("photo_id", "region_no").alias("row_id"), "photo_id", "vec")
-        found = None
-        for lo in range(0, max(1, len(vectors)), R.MAX_QUERIES):
-            queries = spark.createDataFrame([(lo + i, [float(x) for x in v]) for i, v in enumerate(vectors[lo : lo + R.MAX_QUERIES])], "query_no int, vec array<float>")
-            part = R.best_region_per_photo(R.knn_exact(regions, queries, top_k * R.REGIONS_PER_PHOTO))
-            found = part if found is None else found.unionByName(part)
-        return R.top_photos(R.best_region_per_photo(found), top_k)
+        queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "query_no int, vec array<float>")
+        return R.recall(regions, queries, top_k, photos=self.store.table("photos"))
 
     def _verified(self, exemplars: list[tuple[str, Box]], shortlist: DataFrame) -> DataFrame:
         """Detections of every exemplar in every shortlisted photo.

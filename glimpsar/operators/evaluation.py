@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.gate import inlier_fraction
+from ..functions.gate import accept, inlier_fraction
 
 # The grids of the sweep and the cut-offs of precision at k.
 THRESHOLDS = (4, 5, 6, 8, 10, 12, 15, 20, 30, 60, 100)
@@ -76,3 +76,25 @@ def inlier_distribution(pairs: DataFrame, column: str = "inliers") -> DataFrame:
     return placed.groupBy("label").agg(
         F.min(column).alias("least"), F.min(F.when(F.col("upto") > middle, F.col(column))).alias("median"), F.max(column).alias("most")
     )
+
+
+def feedback_lift(verified: DataFrame, candidates: DataFrame, suite: Column) -> DataFrame:
+    """What confirming brings: every query is judged twice, with its first exemplar and with one more for each confirmed photo.
+
+    ``verified`` has ``query_id``, ``photo_id``, ``exemplar_no`` (from 1), ``inliers`` and ``raw_matches``; ``candidates`` all (query, photo)
+    with their ``kind``.  The user confirms the true matches of the first run.  In the second, a photo is judged
+    by its best exemplar: most inliers, the earlier one of equals.
+    """
+    key = ["query_id", "photo_id"]
+    passed = F.coalesce(accept(F.col("inliers"), F.col("raw_matches")), F.lit(False))
+    first = verified.where("exemplar_no = 1").select(*key, passed.alias("hit"))
+    one = candidates.join(first, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    seeds = one.where((F.col("kind") == "true") & F.col("hit")).groupBy("query_id").agg(F.count(F.lit(1)).alias("confirmed"))
+    known = verified.join(seeds, "query_id", "left").where((F.col("exemplar_no") <= 1 + F.coalesce("confirmed", F.lit(0))) & (F.col("inliers") > 0))
+    best = known.groupBy(*key).agg(F.max_by(F.struct("inliers", "raw_matches"), F.struct("inliers", -F.col("exemplar_no"))).alias("b")).select(*key, "b.*")
+    both = one.join(best.select(*key, passed.alias("after")), key, "left").withColumn("after", F.coalesce("after", F.lit(False)))
+    true = F.col("kind") == "true"
+    return both.groupBy(suite.alias("suite")).agg(
+        F.count_if(true & F.col("hit")).alias("before"), F.count_if(true & F.col("after")).alias("after"), F.count_if(~true & F.col("hit")).alias("false_positives_before"),
+        F.count_if(~true & F.col("after")).alias("false_positives_after"), F.count_if(true).alias("total"),
+    )

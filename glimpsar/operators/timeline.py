@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,7 +34,7 @@ def with_gaps(matches: DataFrame, key: str = "object_id", tie: str = "photo_id")
     df = matches.withColumn("days", days)
     drawn = F.col("days") > GAP_DAYS
     height = F.least(F.lit(72.0), 14 + (F.log2(F.when(drawn, F.col("days"))) - 4.4) * 12)
-    return df.withColumn("gap_px", height).withColumn("gap_text", F.when(drawn, span_text(F.col("days"))))
+    return df.withColumn("gap_px", F.when(drawn, height)).withColumn("gap_text", F.when(drawn, span_text(F.col("days"))))
 
 
 def with_year_breaks(matches: DataFrame, key: str = "object_id", tie: str = "photo_id") -> DataFrame:
@@ -47,3 +47,9 @@ def with_year_breaks(matches: DataFrame, key: str = "object_id", tie: str = "pho
 def summary(matches: DataFrame, key: str = "object_id") -> DataFrame:
     out = matches.groupBy(key).agg(F.count(F.lit(1)).alias("sightings"), F.min("taken_at").alias("first"), F.max("taken_at").alias("last"), F.count("taken_at").alias("dated"))
     return out.select(key, "sightings", "first", "last", F.when(F.col("dated") > 1, days_between(F.col("last"), F.col("first"))).otherwise(0.0).alias("arc_days"))
+
+
+def several_text(most: Column, first: Column, photos: Column) -> Column:
+    """A sentence for an object that is in one photo more than once."""
+    others = F.when(photos > 1, F.concat(F.lit(", and more than once in "), (photos - 1).cast("string"), F.lit(" more"))).otherwise("")
+    return F.concat(F.lit("Seen "), most.cast("string"), F.lit(" times in "), first, others, F.lit(": the matches need not be one and the same thing."))

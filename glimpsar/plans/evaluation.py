@@ -22,7 +22,7 @@ def precision_at_k(spark, sf_dir):
 
 _SWEEP = """
 th AS (SELECT CAST(unnest([4, 5, 6, 8, 10, 12, 15, 20, 30, 60, 100]) AS INT) AS threshold), fr AS (SELECT CAST(unnest([0, 0.2, 0.3, 0.4, 0.5, 0.6]) AS DOUBLE) AS fraction), grid AS (SELECT * FROM th, fr),
-n AS (SELECT label, inliers, raw_matches, count(*) AS n FROM f_pairs GROUP BY label, inliers, raw_matches), total AS (SELECT count(*) AS positives FROM f_pairs WHERE label = 'same'),
+n AS (SELECT label, inliers, raw_matches, count(*) AS n FROM f_pairs WHERE label <> 'twin' GROUP BY label, inliers, raw_matches), total AS (SELECT count(*) AS positives FROM f_pairs WHERE label = 'same'),
 c AS (SELECT threshold, fraction, CAST(coalesce(sum(n) FILTER (WHERE label = 'same'), 0) AS BIGINT) AS tp, CAST(coalesce(sum(n) FILTER (WHERE label = 'same_class'), 0) AS BIGINT) AS fp_same_class, CAST(coalesce(sum(n) FILTER (WHERE label = 'unrelated'), 0) AS BIGINT) AS fp_unrelated
       FROM grid LEFT JOIN n ON inliers >= threshold AND CAST(inliers AS DOUBLE) / greatest(raw_matches, 1) >= fraction GROUP BY threshold, fraction),
 p AS (SELECT c.*, CAST(tp AS DOUBLE) / greatest(tp + fp_same_class + fp_unrelated, 1) AS precision, CAST(tp AS DOUBLE) / greatest(positives, 1) AS recall FROM c, total),
@@ -55,43 +55,43 @@ def inlier_distribution(spark, sf_dir):
     return E.inlier_distribution(X.pairs(spark, sf_dir))
 
 
-#: Truth of a query: the photos of the same tenth.
+#: Truth of a query: the photos of the same tenth.  A pair's line number is the exemplar that the photo was compared with.
+_KIND = "CASE WHEN photo_id % 10 = query_id % 10 THEN 'true' WHEN photo_id % 10 < 5 THEN 'same_class' ELSE 'other' END"
 _EVAL = f"""
-got AS (SELECT query_id % 10 AS suite, query_id, photo_id, max(CASE WHEN {_GATE} THEN 1 ELSE 0 END) AS hit, max(CASE WHEN inliers >= 4 THEN 1 ELSE 0 END) AS hit_after FROM f_pairs GROUP BY query_id, photo_id),
-lab AS (SELECT *, CASE WHEN photo_id % 10 = query_id % 10 THEN 'true' WHEN photo_id % 10 < 5 THEN 'same_class' ELSE 'other' END AS kind FROM got)"""
+got AS (SELECT query_id % 10 AS suite, query_id, photo_id, max(CASE WHEN {_GATE} THEN 1 ELSE 0 END) AS hit FROM f_pairs GROUP BY query_id, photo_id),
+lab AS (SELECT *, {_KIND} AS kind FROM got)"""
 
 
-def _evaluated(spark, sf_dir):
-    p = X.pairs(spark, sf_dir)
-    got = p.groupBy("query_id", "photo_id").agg(
-        F.max(G.accept(F.col("inliers"), F.col("raw_matches")).cast("int")).alias("hit"), F.max((F.col("inliers") >= 4).cast("int")).alias("hit_after")
-    )
+def _kind():
     own = F.col("photo_id") % 10
-    kind = F.when(own == F.col("query_id") % 10, "true").when(own < 5, "same_class").otherwise("other")
-    return got.withColumn("suite", F.col("query_id") % 10).withColumn("kind", kind)
+    return F.when(own == F.col("query_id") % 10, "true").when(own < 5, "same_class").otherwise("other")
 
 
 @query("eval_recall", X.sql("f_pairs", _EVAL + """
 SELECT suite, count(*) FILTER (WHERE kind = 'true') AS positives, count(*) FILTER (WHERE kind = 'true' AND hit = 1) AS tp, count(*) FILTER (WHERE kind = 'same_class' AND hit = 1) AS fp_same_class, count(*) FILTER (WHERE kind = 'other' AND hit = 1) AS fp_other,
   round(CAST(count(*) FILTER (WHERE kind = 'true' AND hit = 1) AS DOUBLE) / nullif(count(*) FILTER (WHERE kind = 'true'), 0), 9) AS recall FROM lab GROUP BY suite"""))
 def eval_recall(spark, sf_dir):
+    got = X.pairs(spark, sf_dir).groupBy("query_id", "photo_id").agg(F.max(G.accept(F.col("inliers"), F.col("raw_matches")).cast("int")).alias("hit"))
+    lab = got.withColumn("suite", F.col("query_id") % 10).withColumn("kind", _kind())
     of = lambda kind: F.count_if((F.col("kind") == kind) & (F.col("hit") == 1))
     positives = F.count_if(F.col("kind") == "true")
-    return _evaluated(spark, sf_dir).groupBy("suite").agg(
+    return lab.groupBy("suite").agg(
         positives.alias("positives"), of("true").alias("tp"), of("same_class").alias("fp_same_class"), of("other").alias("fp_other"), F.round(of("true") / F.nullif(positives, F.lit(0)), 9).alias("recall")
     )
 
 
-@query("feedback_lift", X.sql("f_pairs", _EVAL + """,
-seeds AS (SELECT suite, count(*) AS confirmed FROM lab WHERE kind = 'true' AND hit = 1 GROUP BY suite)
-SELECT l.suite, count(*) FILTER (WHERE kind = 'true' AND hit = 1) AS before, count(*) FILTER (WHERE kind = 'true' AND (hit = 1 OR (hit_after = 1 AND s.confirmed IS NOT NULL))) AS after,
-  count(*) FILTER (WHERE kind <> 'true' AND (hit = 1 OR (hit_after = 1 AND s.confirmed IS NOT NULL))) AS false_positives_after, count(*) FILTER (WHERE kind = 'true') AS total FROM lab l LEFT JOIN seeds s ON l.suite = s.suite GROUP BY l.suite"""))
+@query("feedback_lift", X.sql("f_pairs", f"""
+v AS (SELECT query_id, photo_id, CAST(pair_no AS BIGINT) AS exemplar_no, max(inliers) AS inliers, arg_max(raw_matches, inliers * 10000 + raw_matches) AS raw_matches FROM f_pairs GROUP BY query_id, photo_id, pair_no),
+c AS (SELECT DISTINCT query_id, photo_id, {_KIND} AS kind FROM f_pairs),
+one AS (SELECT c.*, coalesce({_GATE}, false) AS hit FROM c LEFT JOIN v ON c.query_id = v.query_id AND c.photo_id = v.photo_id AND v.exemplar_no = 1),
+seeds AS (SELECT query_id, count(*) AS confirmed FROM one WHERE kind = 'true' AND hit GROUP BY query_id),
+best AS (SELECT query_id, photo_id, inliers, raw_matches FROM (SELECT v.*, row_number() OVER (PARTITION BY v.query_id, v.photo_id ORDER BY inliers DESC, exemplar_no) AS n FROM v LEFT JOIN seeds s ON v.query_id = s.query_id WHERE exemplar_no <= 1 + coalesce(confirmed, 0) AND inliers > 0) WHERE n = 1),
+two AS (SELECT o.*, coalesce({_GATE}, false) AS after FROM one o LEFT JOIN best b ON o.query_id = b.query_id AND o.photo_id = b.photo_id)
+SELECT query_id % 10 AS suite, count(*) FILTER (WHERE kind = 'true' AND hit) AS before, count(*) FILTER (WHERE kind = 'true' AND after) AS after, count(*) FILTER (WHERE kind <> 'true' AND hit) AS false_positives_before,
+  count(*) FILTER (WHERE kind <> 'true' AND after) AS false_positives_after, count(*) FILTER (WHERE kind = 'true') AS total FROM two GROUP BY query_id % 10"""))
 def feedback_lift(spark, sf_dir):
-    """Hits before confirming, and after: confirmed photos widen what the object is recognised by (here: a lower gate)."""
-    lab = _evaluated(spark, sf_dir)
-    seeds = lab.where("kind = 'true' and hit = 1").groupBy("suite").agg(F.count(F.lit(1)).alias("confirmed"))
-    after = (F.col("hit") == 1) | ((F.col("hit_after") == 1) & F.col("confirmed").isNotNull())
-    true = F.col("kind") == "true"
-    return lab.join(seeds, "suite", "left").groupBy("suite").agg(
-        F.count_if(true & (F.col("hit") == 1)).alias("before"), F.count_if(true & after).alias("after"), F.count_if(~true & after).alias("false_positives_after"), F.count_if(true).alias("total")
-    )
+    """Two runs: with what was drawn (exemplar 1) alone, and with an exemplar more for each true match of the first run."""
+    key = ["query_id", "photo_id"]
+    best = F.max(F.struct("inliers", "raw_matches")).alias("b")
+    v = X.pairs(spark, sf_dir).groupBy(*key, F.col("pair_no").cast("long").alias("exemplar_no")).agg(best).select(*key, "exemplar_no", "b.*")
+    return E.feedback_lift(v, v.select(*key).distinct().withColumn("kind", _kind()), F.col("query_id") % 10)

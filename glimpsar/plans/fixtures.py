@@ -24,7 +24,7 @@ SELECT p.photo_id, concat('/lib/', CAST(p.photo_id % 7 AS VARCHAR), '/', CAST(p.
 FROM (SELECT DISTINCT CAST(floor(vec_id / 5) AS BIGINT) AS photo_id FROM embeddings) p LEFT JOIN events e ON e.event_id = p.photo_id""",
     "f_pairs": """
 SELECT l_suppkey AS query_id, l_partkey AS photo_id, l_orderkey AS pair_id, l_linenumber AS pair_no,
-       CASE l_returnflag WHEN 'A' THEN 'same' WHEN 'N' THEN 'same_class' ELSE 'unrelated' END AS label,
+       CASE WHEN l_returnflag = 'A' AND l_partkey % 9 = 0 THEN 'twin' WHEN l_returnflag = 'A' THEN 'same' WHEN l_returnflag = 'N' THEN 'same_class' ELSE 'unrelated' END AS label,
        CAST(l_quantity AS INT) AS inliers, CAST(CAST(l_quantity AS INT) + l_partkey % 60 AS INT) AS raw_matches, l_discount AS recall_score
 FROM lineitem""",
     "f_sightings": "SELECT user_id AS object_id, event_id AS photo_id, ts AS taken_at, value AS score FROM events",
@@ -92,7 +92,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("photo_id"),
         F.col("l_orderkey").alias("pair_id"),
         F.col("l_linenumber").alias("pair_no"),
-        F.when(flag == "A", "same").when(flag == "N", "same_class").otherwise("unrelated").alias("label"),
+        F.when((flag == "A") & (F.col("l_partkey") % 9 == 0), "twin").when(flag == "A", "same").when(flag == "N", "same_class").otherwise("unrelated").alias("label"),
         F.col("l_quantity").cast("int").alias("inliers"),
         (F.col("l_quantity").cast("int") + F.col("l_partkey") % 60).cast("int").alias("raw_matches"),
         F.col("l_discount").alias("recall_score"),

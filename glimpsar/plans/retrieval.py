@@ -44,6 +44,18 @@ def recall_topk(spark, sf_dir):
     return R.recall(X.regions(spark, sf_dir), _queries(spark, sf_dir), TOP_K, SOURCE)
 
 
+@query("recall_alive", X.sql("f_regions f_photos", _SCORED + """,
+a AS (SELECT s.* FROM s WHERE photo_id IN (SELECT photo_id FROM f_photos WHERE photo_id % 3 <> 1)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, row_id) AS rank FROM a),
+b AS (SELECT photo_id, score, row_id FROM (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY score DESC, row_id) AS n FROM r WHERE rank <= 30 * 20) WHERE n = 1),
+t AS (SELECT * FROM b ORDER BY score DESC, photo_id LIMIT 30)
+SELECT photo_id, score, row_id FROM t WHERE photo_id <> 0"""))
+def recall_alive(spark, sf_dir):
+    """A third of the photos are gone, and their regions take nobody's place; no more are looked for than are left."""
+    there = X.photos(spark, sf_dir).where("photo_id % 3 <> 1")
+    return R.recall(X.regions(spark, sf_dir), _queries(spark, sf_dir), 30, SOURCE, photos=there)
+
+
 _STATE = """
 lastr AS (SELECT object_id, photo_id, max(seq) FILTER (WHERE NOT confirmed) AS rejected_at, arg_max(confirmed, seq) AS confirmed FROM f_feedback GROUP BY object_id, photo_id),
 st AS (SELECT l.object_id, l.photo_id, l.confirmed, CASE WHEN l.confirmed THEN (SELECT min(f.seq) FROM f_feedback f WHERE f.object_id = l.object_id AND f.photo_id = l.photo_id AND f.confirmed AND f.seq > coalesce(l.rejected_at, -1)) END AS box_seq FROM lastr l)"""

@@ -90,8 +90,8 @@ def duplicate_photos(spark, sf_dir):
 @query("duplicate_warning", X.sql("f_pairs", f"""
 d AS (SELECT query_id, photo_id, count(*) FILTER (WHERE {_GATE}) AS detections, max(recall_score) AS score FROM f_pairs GROUP BY query_id, photo_id),
 e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, photo_id) AS n FROM d WHERE detections >= 2)
-SELECT query_id, max(detections) AS copies, count(*) AS photos, concat(max(detections), ' of these appear together in ', max(photo_id) FILTER (WHERE n = 1), '.jpg',
-  CASE WHEN count(*) > 1 THEN concat(' and ', count(*) - 1, ' other photo(s)') ELSE '' END, '. There is more than one; matches may be different copies.') AS warning FROM e GROUP BY query_id"""))
+SELECT query_id, max(detections) AS copies, count(*) AS photos, concat('Seen ', max(detections), ' times in photo ', max(photo_id) FILTER (WHERE n = 1), '.jpg',
+  CASE WHEN count(*) > 1 THEN concat(', and more than once in ', count(*) - 1, ' more') ELSE '' END, ': the matches need not be one and the same thing.') AS warning FROM e GROUP BY query_id"""))
 def duplicate_warning(spark, sf_dir):
     """Per query: most detections in one photo, photos with several, and a sentence naming the first by score."""
     d = (
@@ -102,28 +102,37 @@ def duplicate_warning(spark, sf_dir):
     )
     first = F.max_by("photo_id", F.struct(F.col("score"), -F.col("photo_id")))
     a = d.groupBy("query_id").agg(F.max("detections").alias("copies"), F.count(F.lit(1)).alias("photos"), first.alias("first"))
-    others = F.when(F.col("photos") > 1, F.concat(F.lit(" and "), (F.col("photos") - 1).cast("string"), F.lit(" other photo(s)"))).otherwise("")
-    text = F.concat(F.col("copies").cast("string"), F.lit(" of these appear together in "), F.col("first").cast("string"), F.lit(".jpg"), others, F.lit(". There is more than one; matches may be different copies."))
-    return a.select("query_id", "copies", "photos", text.alias("warning"))
+    return a.select("query_id", "copies", "photos", T.several_text(F.col("copies"), F.concat(F.lit("photo "), F.col("first").cast("string"), F.lit(".jpg")), F.col("photos")).alias("warning"))
 
 
-_GAPS = _SEEN + """,
+_LAGGED = """,
 l AS (SELECT *, lag(taken_at) OVER (PARTITION BY object_id ORDER BY taken_at ASC NULLS LAST, photo_id) AS before FROM z),
-g AS (SELECT *, coalesce((epoch_us(taken_at) - epoch_us(before)) / CAST(86400000000 AS DOUBLE), 0) * 40 AS days FROM l)"""
+g AS (SELECT *, coalesce((epoch_us(taken_at) - epoch_us(before)) / CAST(86400000000 AS DOUBLE), 0) AS days FROM l)"""
+#: Sightings forty times as far apart, so that gaps of weeks and years come about.
+_APART = _SEEN.replace("z AS", "y AS") + """,
+z AS (SELECT object_id, photo_id, score, make_timestamp(epoch_us(TIMESTAMP '2000-01-01') + 40 * (epoch_us(taken_at) - epoch_us(TIMESTAMP '2024-01-01'))) AS taken_at FROM y)"""
 
 
-@query("timeline_gaps", X.sql("f_sightings", _GAPS.replace("* 40 AS", "AS") + """
-SELECT object_id, photo_id, round(days, 6) AS days, CASE WHEN days > 21 THEN round(least(72, 14 + (log2(days) - 4.4) * 12), 4) END AS gap_px FROM g"""))
+def _apart(spark, sf_dir):
+    micros = F.unix_micros(F.col("taken_at").cast("timestamp"))
+    start, base = (F.unix_micros(F.to_timestamp(F.lit(f"{y}-01-01 00:00:00"))) for y in (2024, 2000))
+    return _seen(spark, sf_dir).withColumn("taken_at", F.timestamp_micros(base + 40 * (micros - start)).cast("timestamp_ntz"))
+
+
+@query("timeline_gaps", X.sql("f_sightings", _APART + _LAGGED + """,
+t AS (SELECT *, CAST(floor(days / CAST(365.25 AS DOUBLE)) AS BIGINT) AS y, CAST(floor((days - floor(days / CAST(365.25 AS DOUBLE)) * CAST(365.25 AS DOUBLE)) / CAST(30.44 AS DOUBLE)) AS BIGINT) AS m FROM g)
+SELECT object_id, photo_id, round(days, 6) AS days, CASE WHEN days > 21 THEN round(least(72, 14 + (log2(days) - 4.4) * 12), 4) END AS gap_px,
+  CASE WHEN days > 21 THEN CASE WHEN y <> 0 AND m <> 0 THEN concat(y, ' yr ', m, ' mo') WHEN y <> 0 THEN concat(y, ' yr') WHEN m <> 0 THEN concat(m, ' mo') ELSE concat(CAST(floor(days + 0.5) AS BIGINT), ' days') END END AS gap_text FROM t"""))
 def timeline_gaps(spark, sf_dir):
-    out = T.with_gaps(_seen(spark, sf_dir))
-    drawn = F.when(F.col("days") > T.GAP_DAYS, F.round("gap_px", 4))
-    return out.select("object_id", "photo_id", F.round("days", 6).alias("days"), drawn.alias("gap_px"))
+    """Days between sightings, and how long and with what words a gap is drawn."""
+    out = T.with_gaps(_apart(spark, sf_dir))
+    return out.select("object_id", "photo_id", F.round("days", 6).alias("days"), F.round("gap_px", 4).alias("gap_px"), "gap_text")
 
 
-@query("timeline_year_breaks", X.sql("f_sightings", _GAPS + """
+@query("timeline_year_breaks", X.sql("f_sightings", _APART + _LAGGED + """
 SELECT object_id, photo_id, CAST(coalesce(year(taken_at), 0) AS INT) AS year, taken_at IS NOT NULL AND (before IS NULL OR year(before) <> year(taken_at)) AS new_year FROM g"""))
 def timeline_year_breaks(spark, sf_dir):
-    return T.with_year_breaks(_seen(spark, sf_dir)).select("object_id", "photo_id", F.coalesce("year", F.lit(0)).alias("year"), "new_year")
+    return T.with_year_breaks(_apart(spark, sf_dir)).select("object_id", "photo_id", F.coalesce("year", F.lit(0)).alias("year"), "new_year")
 
 
 @query("timeline_summary", X.sql("f_sightings", _SEEN + """,

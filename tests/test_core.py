@@ -153,3 +153,86 @@ def test_no_pair_of_matches_is_passed_over():
     dst[true] = _similar(src[true])
     _, inside = matching.fit_similarity(src, dst)
     assert np.flatnonzero(inside).tolist() == true.tolist()
+
+
+@pytest.fixture(scope="module")
+def table(spark, tmp_path_factory):
+    """Regions of no structure, the hardest case for an approximate search, and five query vectors."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((3000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    path = str(tmp_path_factory.mktemp("regions") / "r")
+    spark.createDataFrame([(i, i // 5, [float(x) for x in r]) for i, r in enumerate(v)], "row_id long, photo_id long, vec array<float>").repartition(3).write.parquet(path)
+    asked = spark.createDataFrame([(i, [float(x) for x in v[700 * i]]) for i in range(4)] + [(4, [float(x) for x in rng.standard_normal(64)])], "query_no int, vec array<float>")
+    return spark.read.parquet(path), asked
+
+
+def _found(df):
+    return {(r.query_no, r["rank"]): (r.row_id, r.score) for r in df.collect()}
+
+
+def test_exact_search_whatever_the_batches(spark, table, monkeypatch):
+    """One pass or several over the regions, large or tiny Arrow batches: the same answer, that of brute force."""
+    regions, asked = table
+    rows = {r.row_id: np.array(r.vec) for r in regions.collect()}
+    want = {}
+    for q in asked.collect():
+        score = {i: round(float(np.array(q.vec) @ v), 6) for i, v in rows.items()}
+        for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:50]):
+            want[q.query_no, n + 1] = i
+    assert {k: i for k, (i, _) in _found(recall.knn_exact(regions, asked, 50)).items()} == want
+    monkeypatch.setattr(recall, "MAX_QUERIES", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        small = recall.knn_exact(regions, asked, 50)
+        assert {k: i for k, (i, _) in _found(small).items()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    best = {r.row_id: r.score for r in recall.best_scores(regions, asked).collect()}
+    assert len(best) == 3000
+    assert best[0] == 1.0
+
+
+def test_approximate_searches_find_nine_in_ten(spark, table):
+    regions, asked = table
+    exact = _found(recall.knn_exact(regions, asked, 20))
+    centres = recall.ivf_cells(regions)
+    for found in (recall.knn_lsh(regions, asked, 20), recall.knn_ivf(recall.with_cell(regions, centres), centres, asked, 20)):
+        got = set(_found(found).values())
+        assert len(got & set(exact.values())) / len(exact) >= 0.9
+    none = asked.where("false")
+    assert recall.knn_lsh(regions, none, 20).count() == recall.knn_ivf(recall.with_cell(regions, centres), centres, none, 20).count() == recall.knn_exact(regions, none, 5).count() == 0
+
+
+def test_recall_passes_over_regions_without_owner(spark, table):
+    regions, asked = table
+    photos = spark.createDataFrame([(i,) for i in range(0, 600, 2)], "photo_id long")
+    hits = recall.recall(regions, asked, 1000, source=0, photos=photos).collect()
+    assert len(hits) == 299
+    assert all(r.photo_id % 2 == 0 for r in hits)
+
+
+def test_affine_fit():
+    """All triples of few points and drawn ones of many find the transform; nothing is cut off at any number."""
+    rng = np.random.default_rng(5)
+    m = np.array([[1.2, 0.3, 40.0], [-0.2, 0.8, 10.0]])
+    for n, right in ((10, 6), (60, 40), (400, 160), (2000, 700)):
+        src = rng.uniform(0, 500, (n, 2))
+        dst = src @ m[:, :2].T + m[:, 2]
+        dst[right:] = rng.uniform(0, 900, (n - right, 2))
+        matrix, inside = matching.fit_affine(src, dst)
+        assert inside[:right].all()
+        assert np.allclose(matrix, m, atol=1e-6) or inside.sum() >= right
+    line = np.column_stack([np.arange(5.0), np.arange(5.0)])
+    assert matching.fit_affine(line, line) is None
+    assert matching.fit_affine(line[:2], line[:2]) is None
+
+
+def test_scene_seeds(spark, small):
+    import zlib
+
+    from glimpsar.plans import catalog
+
+    rows = catalog.queries()["scene_seed"](spark, small).collect()
+    assert rows
+    assert all(r.seed == zlib.crc32(r.path.encode()) ^ 7 for r in rows)

@@ -7,8 +7,9 @@ the index itself.
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from .operators import matching as K
 from .operators import recall as R
 from .operators import timeline as T
 from .operators.library import indexed_folder
-from .sources.indexer import IndexStats, index_folder
+from .sources.indexer import Progress, Run, index_folder, missing_keypoints
 from .sources.store import IndexStore
 
 Box = tuple[float, float, float, float]
@@ -76,18 +77,32 @@ class Answer:
 
 
 class Library:
-    """Queries and feedback over one index."""
-
-    def __init__(self, store: IndexStore, features: TableFeatures | None = None, embedder=None, min_inliers: int = gate.MIN_INLIERS, min_fraction: float = gate.MIN_FRACTION):
-        self.store, self.features, self.embedder = store, features or TableFeatures(store), embedder
+    """Queries and feedback over one index.
+
+    ``provider`` reads files; ``verifier`` stands for stage two: it has the signature of ``matching.detect`` and gives detections among
+    matched points.  Without one the built-in verifier runs, with six-parameter transforms if ``affine``.
+    """
+
+    def __init__(
+        self,
+        store: IndexStore,
+        features: TableFeatures | None = None,
+        provider=None,
+        min_inliers: int = gate.MIN_INLIERS,
+        min_fraction: float = gate.MIN_FRACTION,
+        verifier: Callable[..., list[dict]] | None = None,
+        affine: bool = False,
+    ):
+        self.store, self.features, self.provider = store, features or TableFeatures(store), provider
         self.min_inliers, self.min_fraction = min_inliers, min_fraction
+        self.verifier, self.affine = verifier or K.detect, affine
 
     # -- the catalogue
 
-    def index(self, folder: str, report=lambda _: None) -> IndexStats:
-        if self.embedder is None:
-            raise ValueError("indexing needs an embedding provider")
-        return index_folder(self.store, folder, self.embedder, report)
+    def index(self, folder: str, report: Callable[[Progress], None] = lambda _: None, **options) -> Run:
+        if self.provider is None:
+            raise ValueError("indexing needs a provider")
+        return index_folder(self.store, folder, self.provider, report, **options)
 
     def status(self) -> DataFrame:
         photos = self.store.table("photos")
@@ -125,6 +140,8 @@ class Library:
             known = self._exemplars(object_id)
             if not known:
                 raise ValueError("unknown object: a box is needed")
+            if self.provider is not None:
+                missing_keypoints(self.store, self.provider, self.store.spark.createDataFrame([(p,) for p in {photo_id, known[0][0]}], "photo_id string"))
             found = self._verified(known[:1], self.store.table("photos").where(F.col("photo_id") == photo_id).select("photo_id")).where("detection = 0 and x1 is not null").first()
             if found is None:
                 raise ValueError("the object is not found in that photo: a box is needed")
@@ -133,8 +150,8 @@ class Library:
         return self.exemplar_count(object_id)
 
     def _append(self, object_id: str, photo_id: str, confirmed: bool, box: Box | None) -> None:
-        after = self.store.table("feedback").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        row = [(after + 1, object_id, photo_id, confirmed, tuple(map(float, box)) if box is not None else None)]
+        # The clock orders events, so writers need not know of each other.
+        row = [(time.time_ns(), object_id, photo_id, confirmed, tuple(map(float, box)) if box is not None else None)]
         self.store.append("feedback", self.store.spark.createDataFrame(row, self.store.table("feedback").schema))
 
     # -- asking
@@ -154,6 +171,9 @@ class Library:
         if object_id:
             hits = hits.join(B.feedback_state(self._log(object_id)).where("not confirmed").select("photo_id"), "photo_id", "left_anti")
         hits = hits.persist()
+        if self.provider is not None:
+            asked = self.store.spark.createDataFrame([(p,) for p in {e[0] for e in exemplars}], "photo_id string")
+            missing_keypoints(self.store, self.provider, hits.select("photo_id").unionByName(asked))
         candidates = self._candidates(hits, exemplars).persist()
         accepted = F.col("x1").isNotNull() & gate.accept(F.col("inliers"), F.col("matches"), self.min_inliers, self.min_fraction)
         name = object_id or uuid.uuid4().hex
@@ -180,12 +200,14 @@ class Library:
         Exemplars' features are broadcast in blocks of a bounded few; a photo's keypoints are one group, bounded by the detector.
         """
         photos = self.store.table("photos").select("photo_id", "width", "height")
-        points = self.store.table("keypoints").join(F.broadcast(shortlist.select("photo_id")), "photo_id").join(F.broadcast(photos.join(shortlist.select("photo_id"), "photo_id", "left_semi")), "photo_id")
+        sized = photos.where("width is not null").join(shortlist.select("photo_id"), "photo_id", "left_semi")
+        points = self.store.table("keypoints").join(F.broadcast(sized), "photo_id")
 
         groups = points.select("photo_id", "kp_no", "x", "y", "desc", "width", "height").groupBy("photo_id")
 
         def verified(crops: list[tuple]) -> DataFrame:
             shared = self.store.spark.sparkContext.broadcast(crops)
+            verifier, affine = self.verifier, self.affine
 
             def run(pdf: pd.DataFrame) -> pd.DataFrame:
                 first = pdf.iloc[0]
@@ -194,7 +216,7 @@ class Library:
                 rows = []
                 for number, xy, desc, size in shared.value:
                     pairs = ratio_matches(desc, theirs)
-                    found = K.detect(xy[pairs[:, 0]], places[pairs[:, 1]], size, (first.width, first.height))
+                    found = verifier(xy[pairs[:, 0]], places[pairs[:, 1]], size, (first.width, first.height), affine=affine)
                     rows += [(first.photo_id, number, n, f["inliers"], f["matches"], f["scale"], *(f["box"] or [None] * 4)) for n, f in enumerate(found)]
                 out = pd.DataFrame(rows, columns=["photo_id", "exemplar_no", "detection", "inliers", "matches", "scale", "x1", "y1", "x2", "y2"])
                 return out.astype({c: "float64" for c in ("scale", "x1", "y1", "x2", "y2")})
@@ -206,6 +228,8 @@ class Library:
             block, crops = exemplars[lo : lo + EXEMPLAR_BLOCK], []
             sizes = {r.photo_id: r for r in photos.where(F.col("photo_id").isin([p for p, _ in block])).collect()}
             for photo, box in block:
+                if sizes[photo].width is None:  # a format that no provider has read
+                    continue
                 xy, desc, size = self.features.keypoints(photo, box, sizes[photo].width, sizes[photo].height)
                 if len(desc):
                     crops.append((number, xy, desc, size))

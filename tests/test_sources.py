@@ -40,7 +40,7 @@ def test_index_is_incremental(spark, folder, tmp_path):
     first = index_folder(store, str(folder), PlantedEmbeddings())
     assert (first.photos_indexed, first.total_photos) == (4, 4)
     again = index_folder(store, str(folder), PlantedEmbeddings())
-    assert (again.photos_indexed, again.photos_removed, again.unchanged) == (0, 0, 4)
+    assert (again.photos_indexed, again.photos_removed, again.kept) == (0, 0, 4)
     (folder / "A_1.jpg").unlink()
     (folder / "B_1.png").write_bytes(b"longer than it was before")
     third = index_folder(store, str(folder), PlantedEmbeddings())
@@ -51,6 +51,10 @@ def test_index_is_incremental(spark, folder, tmp_path):
     (other / "T_1.jpg").write_bytes(b"x")
     index_folder(store, str(other), PlantedEmbeddings())
     assert store.table("photos").count() == 4  # the first folder's photos are untouched
+    assert third.index_bytes > 0
+    assert third.rate() > 0
+    store.compact()
+    assert (store.table("photos").count(), store.table("regions").count()) == (4, 20)
     with pytest.raises(StampError):
         IndexStore(spark, f"{tmp_path}/index", "another").table("photos")
 

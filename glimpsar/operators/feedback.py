@@ -7,6 +7,8 @@ form, for logs in which objects are seeded again in between.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,24 +26,27 @@ def feedback_state(log: DataFrame) -> DataFrame:
     return by_photo.select("object_id", "photo_id", "confirmed").join(boxes, ["object_id", "photo_id"], "left")
 
 
-class ObjectMemory:
-    """One object's exemplars (photo to event) and rejected photos, in order."""
-
-    def __init__(self) -> None:
-        self.exemplars: dict[int, int] = {}
-        self.rejected: dict[int, None] = {}
+def replay(events: Iterable[tuple[str, int, int]], boxes: dict[int, int | None] | None = None) -> dict[int, int | None]:
+    """What (kind, photo, seq), in order, make of one object: each photo with the event whose box is its exemplar, or none if it
+    is rejected.  ``boxes`` is where earlier events have led to, and is carried on.
 
-    def apply(self, kind: str, photo: int, seq: int) -> None:
-        if kind == "seed":
-            if not self.exemplars:
-                self.rejected.pop(photo, None)
-                self.exemplars[photo] = seq
-        elif kind == "confirm":
-            self.rejected.pop(photo, None)
-            self.exemplars.setdefault(photo, seq)
+    A seed is a confirmation that only an object without any exemplar takes.
+    """
+    boxes = {} if boxes is None else boxes
+    views = sum(seq is not None for seq in boxes.values())
+    for kind, photo, seq in events:
+        was_view = boxes.get(photo) is not None
+        if kind == "reject":
+            becomes = None
+        elif was_view or (kind == "seed" and views):
+            continue
         else:
-            self.exemplars.pop(photo, None)
-            self.rejected.setdefault(photo)
+            becomes = seq
+        if becomes is not None or was_view or photo not in boxes:
+            boxes.pop(photo, None)  # the latest turn comes last
+            boxes[photo] = becomes
+        views += (becomes is not None) - was_view
+    return boxes
 
 
 def fold_ordered(log: DataFrame) -> DataFrame:
@@ -51,11 +56,9 @@ def fold_ordered(log: DataFrame) -> DataFrame:
     """
 
     def fold(events: pd.DataFrame) -> pd.DataFrame:
-        memory = ObjectMemory()
-        for e in events.sort_values("seq").itertuples(index=False):
-            memory.apply(e.kind, e.photo_id, e.seq)
-        rows = [(p, True, s) for p, s in memory.exemplars.items()] + [(p, False, None) for p in memory.rejected]
-        out = pd.DataFrame(rows, columns=["photo_id", "confirmed", "box_seq"]).astype({"photo_id": "int64", "box_seq": "Int64"})
+        order = events.sort_values("seq")
+        boxes = replay(zip(order["kind"], order["photo_id"], order["seq"], strict=True))
+        out = pd.DataFrame([(p, s is not None, s) for p, s in boxes.items()], columns=["photo_id", "confirmed", "box_seq"]).astype({"photo_id": "int64", "box_seq": "Int64"})
         out.insert(0, "object_id", events["object_id"].iloc[0])
         return out
 

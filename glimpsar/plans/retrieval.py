@@ -67,10 +67,23 @@ def feedback_state(spark, sf_dir):
     return state.fillna(-1, ["box_seq"]).withColumn("exemplars", F.count_if("confirmed").over(Window.partitionBy("object_id")))
 
 
-@query("feedback_fold", X.sql("f_feedback", _STATE.strip() + " SELECT object_id, photo_id, confirmed, coalesce(box_seq, -1) AS box_seq FROM st"))
+@query("feedback_fold", X.sql("", """
+WITH RECURSIVE taps AS (SELECT event_id AS seq, user_id AS object_id, event_id % 12 AS photo_id, CASE event_type WHEN 'signup' THEN 'confirm' WHEN 'error' THEN 'reject' ELSE 'seed' END AS kind FROM events WHERE event_type IN ('signup', 'error') OR event_id % 3 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY seq) AS k FROM taps),
+g AS (SELECT object_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(photo_id BIGINT, box_seq BIGINT)[]) AS state FROM (SELECT DISTINCT object_id FROM taps)
+  UNION ALL
+  SELECT g.object_id, t.k, CASE
+      WHEN t.kind <> 'reject' AND len(list_filter(g.state, lambda o: o.photo_id = t.photo_id AND o.box_seq IS NOT NULL)) > 0 THEN g.state
+      WHEN t.kind = 'seed' AND len(list_filter(g.state, lambda o: o.box_seq IS NOT NULL)) > 0 THEN g.state
+      ELSE list_append(list_filter(g.state, lambda o: o.photo_id <> t.photo_id), struct_pack(photo_id := t.photo_id, box_seq := CASE WHEN t.kind = 'reject' THEN NULL ELSE t.seq END)) END
+  FROM g JOIN t ON g.object_id = t.object_id AND t.k = g.k + 1),
+e AS (SELECT object_id, unnest(state) AS s FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY k DESC) AS last FROM g) WHERE last = 1)
+SELECT object_id, s.photo_id AS photo_id, s.box_seq IS NOT NULL AS confirmed, coalesce(s.box_seq, -1) AS box_seq FROM e"""))
 def feedback_fold(spark, sf_dir):
-    """The step by step form agrees with the closed form where nothing is seeded."""
-    log = X.feedback(spark, sf_dir).select("object_id", "photo_id", "seq", F.when(F.col("confirmed"), "confirm").otherwise("reject").alias("kind"))
+    """Logs in which objects are seeded again and again, replayed step by step."""
+    kind = F.when(F.col("event_type") == "signup", "confirm").when(F.col("event_type") == "error", "reject").otherwise("seed")
+    taps = X.table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "error") | (F.col("event_id") % 3 == 0))
+    log = taps.select(F.col("user_id").alias("object_id"), (F.col("event_id") % 12).alias("photo_id"), F.col("event_id").alias("seq"), kind.alias("kind"))
     return B.fold_ordered(log).fillna(-1, ["box_seq"])
 
 

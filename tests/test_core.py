@@ -80,11 +80,30 @@ def test_confirm_reject_confirm_keeps_the_second_box_and_confirm_twice_the_first
 
 
 def test_seed_fills_only_an_empty_object():
-    m = feedback.ObjectMemory()
-    m.apply("reject", 1, 1)
-    m.apply("seed", 1, 2)
-    m.apply("seed", 2, 3)
-    assert (m.exemplars, list(m.rejected)) == ({1: 2}, [])
+    assert feedback.replay([("reject", 1, 1), ("seed", 1, 2), ("seed", 2, 3)]) == {1: 2}
+    assert feedback.replay([("confirm", 1, 1), ("reject", 1, 2), ("seed", 2, 3), ("confirm", 2, 4), ("seed", 1, 5)]) == {1: None, 2: 3}
+
+
+def brute_state(events):
+    """The state of the definitions: exemplars and rejected photos as two sets that each event moves photos between."""
+    views, rejected = {}, set()
+    for kind, photo, seq in events:
+        if kind == "reject":
+            views.pop(photo, None)
+            rejected.add(photo)
+        elif kind == "confirm" or not views:
+            rejected.discard(photo)
+            views.setdefault(photo, seq)
+    return views, rejected
+
+
+def test_replay_in_pieces_is_replay():
+    rnd = random.Random(3)
+    for _ in range(300):
+        events = [(rnd.choice(["seed", "confirm", "reject"]), rnd.randrange(4), i) for i in range(rnd.randrange(14))]
+        cut = rnd.randrange(len(events) + 1)
+        boxes = feedback.replay(events[cut:], feedback.replay(events[:cut]))
+        assert ({p: s for p, s in boxes.items() if s is not None}, {p for p, s in boxes.items() if s is None}) == brute_state(events)
 
 
 def test_last_seen_ties_and_undated(spark):

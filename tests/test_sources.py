@@ -71,6 +71,17 @@ def test_feedback_stream(spark, tmp_path):
     assert last == {1: ([], [6, 5]), 2: ([9], [])}
 
 
+def test_feedback_stream_with_seeds(spark, tmp_path):
+    src, out = f"{tmp_path}/in", []
+    schema = "object_id long, photo_id long, seq long, kind string"
+    for batch in ([(1, 5, 1, "seed"), (1, 6, 2, "seed"), (1, 7, 3, "confirm")], [(1, 5, 4, "reject"), (1, 7, 5, "reject"), (1, 6, 6, "seed")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = feedback_stream(spark.readStream.schema(schema).parquet(src))
+        q = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert [(r.exemplars, r.box_seqs, r.rejected) for r in out] == [([5, 7], [1, 3], []), ([6], [6], [5, 7])]
+
+
 def test_append_stream(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/in")
     got = []

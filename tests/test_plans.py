@@ -13,7 +13,11 @@ def plan(spark, small, name):
     return catalog.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
 
 
-PYTHON = {"knn_exact", "best_region_per_photo", "recall_topk", "recall_with_feedback", "feedback_fold", "verify_pairs", "multi_exemplar_verify", "knn_lsh", "knn_ivf"}
+#: Matrix products and replays; everything else is left to the engine.
+PYTHON = {
+    *("knn_exact", "best_region_per_photo", "recall_topk", "recall_alive", "recall_with_feedback", "knn_lsh", "knn_ivf"),
+    *("descriptor_2nn", "ratio_test", "verify_pairs", "multi_exemplar_verify", "region_pool", "feedback_fold"),
+}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - PYTHON))
@@ -41,3 +45,11 @@ def test_cross_joins_have_a_bounded_side(spark, small):
     """Wherever all rows meet all rows, one side is broadcast: a grid, a total or the query's own regions."""
     for name in catalog.queries():
         assert "CartesianProduct" not in plan(spark, small, name)
+
+
+def test_pooling_and_descriptors_shuffle_no_pairs(spark, small):
+    """Pooling moves nothing; descriptors are shuffled as keypoints, before they meet."""
+    assert "Exchange" not in plan(spark, small, "region_pool")
+    last = plan(spark, small, "descriptor_2nn")
+    assert last.index("MapInArrow") < last.index("Exchange")
+    assert "Window" not in last

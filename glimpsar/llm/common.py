@@ -19,8 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A side of a join is broadcast only if its measured rows times its row width stay below this.
 BROADCAST_BYTES = 32 << 20
-#: Rows of an Arrow batch that may hold texts.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch that Spark sends to Python (one row at least).
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,13 +66,13 @@ def discard_stored(spark: SparkSession) -> None:
 def mapped(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` for rows that may hold long texts.
 
-    Spark bounds Arrow batches by rows alone, 10000 of them unless told otherwise.  That many texts
-    do not fit, so the session's bound is lowered to ``BATCH_ROWS`` (it has to hold until the plan runs, so it stays).  At
-    the end of a task memory that is free goes back to the system, as workers live on.
+    Spark's bound on the bytes of an Arrow batch, 64 MB unless told otherwise, is lowered to ``BATCH_BYTES``: workers hold several
+    copies of what they work on.  It has to hold until the plan runs, so it stays with the session; it decides nothing
+    but how much is sent at once.  At the end of a task memory that is free goes back to the system, as workers live on.
     """
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(conf.get(name, "64m")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # tasks make no cycles, and the collector would walk their caches again and again
@@ -85,6 +85,12 @@ def mapped(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[pa
     return df.mapInArrow(run, schema)
 
 
+def _bytes(size: str) -> int:
+    """A size as Spark writes it: 67108864b, 64m."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", size.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[unit[:1]]
+
+
 def release() -> None:
     """Give freed memory back to the operating system, where the C library can."""
     gc.collect()

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: A side of a join is broadcast only if its measured rows times its row width stay below this.
-BROADCAST_BYTES = 32 << 20
+#: A side of a join is broadcast only if its measured rows times their width in memory stay below this.
+BROADCAST_BYTES, ROW_OVERHEAD = 32 << 20, 80
 #: Bytes of an Arrow batch that Spark sends to Python (one row at least).
 BATCH_BYTES = 1 << 20
 
@@ -170,15 +170,18 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def fits(rows: int, row_bytes: int) -> bool:
+    """Whether so many rows may be broadcast: a hash table takes ``ROW_OVERHEAD`` bytes for each of them besides."""
+    return rows * (row_bytes + ROW_OVERHEAD) <= BROADCAST_BYTES
+
+
 def small_or_hashed(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcast if its measured size allows, else for a shuffled hash join.
 
     ``df`` has to be stored or cheap to count.  The hash table of a shuffled join is built from this
     side, so that the other one (texts) is never sorted.
     """
-    if df.count() * row_bytes <= BROADCAST_BYTES:
-        return F.broadcast(df)
-    return df.hint("shuffle_hash")
+    return F.broadcast(df) if fits(df.count(), row_bytes) else df.hint("shuffle_hash")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

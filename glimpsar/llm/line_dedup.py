@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
-from .common import arrow_schema, col, fresh, mapped, pieces, stored, utf8
+from .common import arrow_schema, col, fits, fresh, mapped, pieces, stored, utf8
 
 #: White space that is stripped at both ends of a line: space, and tab to carriage return.
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -35,8 +34,6 @@ LINE_BITS, FILTER_BITS, MAX_FILTER_BITS = 8, 1 << 27, 1 << 30
 #: Bits of one segment of a filter, the work of one task.
 SEGMENT_BITS = 1 << 19
 HASHES = 2
-#: Digests to drop are broadcast up to this size.
-DROPS_BYTES = 8 << 20
 _FLUSH = 1 << 20
 
 
@@ -179,12 +176,9 @@ def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
 def _with_drops(docs: DataFrame, drops: DataFrame, keys: list[str], dropped: str) -> DataFrame:
     """``docs`` and the digests that each row has to drop, or null.  ``drops`` is stored.
 
-    A small list is broadcast; so are the keys of a longer one, and then only the texts that change are shuffled.
+    Only texts that change are shuffled, as long as a list of their keys may be broadcast.
     """
-    rows, digests = drops.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(col(dropped))), F.lit(0))).first()
-    if 48 * rows + 24 * digests <= DROPS_BYTES:
-        return docs.join(F.broadcast(drops), keys, "left")
-    if 16 * rows > common.BROADCAST_BYTES:
+    if not fits(drops.count(), 16):
         return docs.join(drops.hint("shuffle_hash"), keys, "left")
     named = F.broadcast(drops.select(*map(col, keys)))
     changed = docs.join(named, keys, "left_semi").join(drops.hint("shuffle_hash"), keys, "left")

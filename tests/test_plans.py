@@ -29,7 +29,7 @@ def test_stays_in_the_engine(spark, small, name):
     ("name", "columns"),
     [
         ("per_class_accept", {"l_partkey", "l_quantity", "l_returnflag"}),
-        ("inlier_distribution", {"l_quantity", "l_returnflag"}),
+        ("inlier_distribution", {"l_partkey", "l_quantity", "l_returnflag"}),
         ("photo_ids", {"doc_id", "source"}),
         ("timeline_summary", {"event_id", "user_id", "ts"}),
     ],

@@ -290,7 +290,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Both are arrays of (start, kind, end) ordered by start, then kind; ``kind`` is a number in ``KINDS``.
     ``spans`` holds the base spans and the proposed ones that the classifier accepts; those that overlap
     a base span are accepted only if they contain it.  Null and empty texts have no spans.  Rows are independent but for
-    the classifier: repeated rows and null ids come back as they are.
+    the classifier: repeated rows and null ids come back as they are.  Texts of any length are read whole.  Other columns are
+    never read, whatever their names.
     """
     found = stored(candidates(docs, id_col, text_col), "pii-spans")
     w = train(found)
@@ -312,12 +313,17 @@ def _listed(c: str) -> Column:
     return F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(kind: int) -> Column:
+    """How many base spans are of a kind."""
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op10_pii(spark, sf_dir: str) -> DataFrame:
     """Counts of base spans by kind, their digest, and all spans of every document."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)],
+        *[_count(k).alias(f"n_{name}") for k, name in enumerate(BASE)],
         F.sha2(_listed("base"), 256).alias("base_sha256"),
         _listed("spans").alias("spans"),
     )

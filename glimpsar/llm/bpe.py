@@ -281,8 +281,8 @@ def tokenizer_content(path: str | None = None) -> str:
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, token ``ids`` and the text ``decoded`` from them, for every row of ``docs``.
 
-    Null and empty texts have no ids and decode to an empty text.  Rows are independent of each
-    other: ties, repeated rows and null ids come back as they are.
+    Null and empty texts have no ids and decode to an empty text; texts of any length are read whole.  Rows are independent of each
+    other: ties, repeated rows and null ids come back as they are.  Other columns are never read, whatever their names.
     """
     content = docs.sparkSession.sparkContext.broadcast(tokenizer_content(path))
     schema = arrow_schema(_ROUND)

@@ -129,8 +129,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     """``doc_id``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of every row of ``docs``.
 
     The size is the text's UTF-8 bytes (null: none) plus 8.  Rows of equal texts go to one shard; null is
-    a text of its own.  Within a shard slots run from 0 without gaps, in order of a hash cell of the id, then the id;
+    a text of its own.  Within a shard slots run from 0 without gaps, in order of a hash cell of id and text, then the id;
     rows without an id come first in their cell.  Repeated rows are kept, each with a slot.  An empty table gives an empty table.
+    Texts of any length count whole.  Other columns are never read, whatever their names.
     """
     text = F.col(text_col)
     rows = stored(
@@ -147,7 +148,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     cells = max(CELLS, -(-n // (shards * CELL_ROWS)))
     placed = stored(
         rows.join(assign(groups, shards), "item")
-        .withColumn("cell", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(cells)).cast("int"))
+        .withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(cells)).cast("int"))
         .select("doc_id", "size", "text_crc32", "shard", "cell"),
         "sharding-placed",
     )

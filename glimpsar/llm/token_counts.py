@@ -229,7 +229,8 @@ def count_with_edits(docs: DataFrame, edits_col: str = "edits", path: str | None
     ``edits_col`` is an array of (start, removed, inserted), applied one after the other, offsets in
     code points of the text at that time; null or empty: no edits.  Null fields count as 0 and an empty string.
     ``n_reencoded`` is how many pre-tokens the edits had encoded again, ``edited`` the final text.
-    Null texts are empty.  Rows are independent: repeated rows and null ids come back as they are.
+    Null texts are empty, and texts of any length are read whole.  Rows are independent: repeated rows and null ids come back as
+    they are.  Other columns are never read, whatever their names.
     """
     content = docs.sparkSession.sparkContext.broadcast(tokenizer_content(path))
     schema = arrow_schema(_OUT)

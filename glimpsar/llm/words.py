@@ -75,9 +75,12 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=np.uint64), bounds
     place = np.arange(len(flat) - starts[0], dtype=np.int64)
     place -= np.repeat(starts - starts[0], np.diff(np.append(starts, len(flat))))
-    place &= _POWERS - 1
     value = _BYTE[flat[starts[0] :]]
-    value *= _PLACE[place]
+    value *= _PLACE[place & (_POWERS - 1)]
+    beyond = np.flatnonzero(place >= _POWERS)  # of words longer than that, each further stretch has weights of its own
+    if len(beyond):
+        far = place[beyond] >> 12
+        value[beyond] *= splitmix(far.astype(np.uint64)) | np.uint64(1)
     return splitmix(np.add.reduceat(value, starts - starts[0])), bounds
 
 

@@ -67,16 +67,18 @@ def _matches(text: Column, pattern: str, present: Column) -> Column:
     """Matches of a pattern as structs of gap length, length, the match and what stands before it."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    zipped = F.transform(
+    # Zipped, as a function over ``found`` would split the text again for each of its matches.
+    zipped = F.zip_with(
         found,
-        lambda m, i: F.struct(
-            F.length(F.get(gaps, i)).cast("long").alias("gap"),
+        gaps,
+        lambda m, gap: F.struct(
+            F.length(gap).cast("long").alias("gap"),
             F.length(m).cast("long").alias("size"),
             m.alias("match"),
-            F.lower(F.substring(F.get(gaps, i), -40, 40)).alias("before"),
+            F.lower(F.substring(gap, -40, 40)).alias("before"),
         ),
     )
-    return F.when(present, zipped)
+    return F.when(present, F.filter(zipped, lambda s: s["match"].isNotNull()))  # what follows the last match is nobody's gap
 
 
 def _placed(name: str) -> Column:

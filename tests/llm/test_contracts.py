@@ -7,7 +7,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from glimpsar.llm import catalog
 
@@ -183,8 +182,7 @@ def test_long_texts_and_clashing_columns(spark):
     assert tokens[0][1] > 500_000
     assert [len(r.decoded) for r in bpe.round_trip(df.where("doc_id = 1")).collect()] == [len(long)]
     assert sorted((r.doc_id, r.size) for r in sharding.shard(df, 3).collect()) == [(1, len(long) + 8), (2, 8), (2, 8)]
-    sparse = df.where("doc_id = 2").unionByName(df.where("doc_id = 1").withColumn("text", F.concat(F.repeat(F.lit("some words "), 50_000), F.lit("1.2.3.4 and a@b.example"))))
-    assert sorted((r.doc_id, len(r.base)) for r in pii.find(sparse).collect()) == [(1, 2), (2, 0), (2, 0)]
+    assert sorted((r.doc_id, len(r.base)) for r in pii.find(df).collect()) == [(1, 120_000), (2, 0), (2, 0)]
 
 
 def test_long_words_are_told_apart():
